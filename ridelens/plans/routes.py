@@ -90,14 +90,15 @@ def routes_by_member_rideable(
 
 
 # --- queries over the route tables ---------------------------------------------------
-_BEST_FIRST = [F.desc("trip_count"), F.asc("start_station_id"), F.asc("end_station_id")]
+def _best_first() -> list[Column]:
+    return [F.desc("trip_count"), F.asc("start_station_id"), F.asc("end_station_id")]
 
 
 def outbound_routes(routes: DataFrame, station_id: int | None = None, k: int = 10) -> DataFrame:
     """The busiest routes leaving each station, or one of them."""
     if station_id is not None:
         routes = routes.where(F.col("start_station_id") == station_id)
-    return top_per_group(routes, ["start_station_id"], _BEST_FIRST, k)
+    return top_per_group(routes, ["start_station_id"], _best_first(), k)
 
 
 def turned_around(routes: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def top_routes(
     summed by the names of their ends.
     """
     if set(members) == set(USUAL_MEMBERS) and set(rideables) == set(USUAL_RIDEABLES):
-        return top(routes, _BEST_FIRST, top_n).withColumn(
+        return top(routes, _best_first(), top_n).withColumn(
             "route", fn.route_label(F.col("start_station_name"), F.col("end_station_name"))
         )
     names = ("start_station_name", "end_station_name")
@@ -187,7 +188,7 @@ def route_map(routes: DataFrame, station_id: int | None = None, top_n: int = 10)
 
 
 def _shown_lines(routes: DataFrame, top_n: int) -> DataFrame:
-    return top(routes, _BEST_FIRST, top_n)
+    return top(routes, _best_first(), top_n)
 
 
 def _placed(end: str) -> Column:
