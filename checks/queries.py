@@ -40,21 +40,26 @@ class Tables:
     def stations(self) -> DataFrame:
         return standins.stations(self.spark, self.folder, self.trips)
 
+    @property
+    def places(self) -> DataFrame:
+        """Names and coordinates only."""
+        return standins.stations(self.spark, self.folder, places=False)
+
     @property
     def daily(self) -> DataFrame:
-        return flows.station_daily(self.trips, self.stations)
+        return flows.station_daily(self.trips, self.places)
 
     @property
     def detailed(self) -> DataFrame:
-        return flows.station_daily_detailed(self.trips, self.stations)
+        return flows.station_daily_detailed(self.trips, self.places)
 
     @property
     def hourly(self) -> DataFrame:
-        return flows.station_hourly(self.trips, self.stations)
+        return flows.station_hourly(self.trips, self.places)
 
     @property
     def routes(self) -> DataFrame:
-        return routes.station_routes(self.trips, self.stations)
+        return routes.station_routes(self.trips, self.places)
 
     @property
     def system_daily(self) -> DataFrame:
@@ -107,17 +112,17 @@ _simple(
     system_daily=lambda t: t.system_daily,
     system_daily_detailed=lambda t: system.system_daily_detailed(t.trips),
     station_daily=lambda t: t.daily,
-    station_daily_one_sided_null=lambda t: flows.station_daily(t.trips, t.stations, one_sided_null=True),
-    station_daily_returns_on_end=lambda t: flows.station_daily(t.trips, t.stations, returns_on="ended_at"),
+    station_daily_one_sided_null=lambda t: flows.station_daily(t.trips, t.places, one_sided_null=True),
+    station_daily_returns_on_end=lambda t: flows.station_daily(t.trips, t.places, returns_on="ended_at"),
     station_daily_sample=lambda t: flows.station_daily_sample(t.daily, 20_000),
     station_daily_detailed=lambda t: t.detailed,
     station_hourly=lambda t: t.hourly,
-    station_hourly_ev=lambda t: flows.station_hourly(t.trips_ev, t.stations),
+    station_hourly_ev=lambda t: flows.station_hourly(t.trips_ev, t.places),
     station_routes=lambda t: t.routes,
-    station_routes_top3=lambda t: routes.station_routes(t.trips, t.stations, top_n=3),
-    station_routes_ev_top3=lambda t: routes.station_routes(t.trips_ev, t.stations, top_n=3),
-    routes_by_member_rideable=lambda t: routes.routes_by_member_rideable(t.trips, t.stations),
-    routes_by_member_rideable_top20=lambda t: routes.routes_by_member_rideable(t.trips, t.stations, 20, 2),
+    station_routes_top3=lambda t: routes.station_routes(t.trips, t.places, top_n=3),
+    station_routes_ev_top3=lambda t: routes.station_routes(t.trips_ev, t.places, top_n=3),
+    routes_by_member_rideable=lambda t: routes.routes_by_member_rideable(t.trips, t.places),
+    routes_by_member_rideable_top20=lambda t: routes.routes_by_member_rideable(t.trips, t.places, 20, 2),
     trip_patterns=lambda t: system.trip_patterns(t.trips),
     trip_duration_buckets=lambda t: system.trip_duration_buckets(t.trips),
     time_aggregated=lambda t: system.time_aggregated(t.trips),
@@ -192,7 +197,7 @@ def _(t: Tables) -> DataFrame:
 @query("lenient_timestamps")
 def _(t: Tables) -> DataFrame:
     text = F.when(F.col("rideable_type") == "docked_bike", "n/a").otherwise(F.col("started_at").cast("string"))
-    return ingest.normalize(t.trips.select("ride_id", text.alias("started_at")), t.stations).select(
+    return ingest.normalize(t.trips.select("ride_id", text.alias("started_at")), t.places).select(
         "ride_id", "started_at", "day", "hour", "weekday"
     )
 
@@ -225,7 +230,7 @@ def _(t: Tables) -> DataFrame:
         F.lit("-77.25").alias("end_lng"),
         F.col("member_type").alias("member_casual"),
     )
-    return ingest.normalize(old, t.stations).unionByName(ingest.normalize(new, t.stations))
+    return ingest.normalize(old, t.places).unionByName(ingest.normalize(new, t.places))
 
 
 _simple(
@@ -263,11 +268,11 @@ _simple(
     station_totals=lambda t: explorer.station_totals(t.daily),
     station_series=lambda t: series.station_series(t.daily),
     station_series_minutes=lambda t: series.station_series(t.daily, "avg_duration_sec"),
-    map_detailed=lambda t: explorer.map_detailed(t.detailed, t.stations, START, END),
-    map_detailed_weighted=lambda t: explorer.map_detailed(t.detailed, t.stations, START, END, weighted=True),
-    map_basic=lambda t: explorer.map_basic(t.daily, t.stations, START, END),
+    map_detailed=lambda t: explorer.map_detailed(t.detailed, t.places, START, END),
+    map_detailed_weighted=lambda t: explorer.map_detailed(t.detailed, t.places, START, END, weighted=True),
+    map_basic=lambda t: explorer.map_basic(t.daily, t.places, START, END),
     map_marker_scale=lambda t: explorer.map_marker_scale(
-        explorer.map_basic(t.daily, t.stations, START, END), "net_flow"
+        explorer.map_basic(t.daily, t.places, START, END), "net_flow"
     ),
     electric_share=lambda t: explorer.electric_share(t.detailed, START, END),
     station_table=lambda t: _station_table(t),
@@ -285,7 +290,7 @@ def _station_table(t: Tables, **chosen) -> DataFrame:
 
 # --- routes --------------------------------------------------------------------------
 def _typed(t: Tables) -> DataFrame:
-    return routes.routes_by_member_rideable(t.trips, t.stations, min_trips=2)
+    return routes.routes_by_member_rideable(t.trips, t.places, min_trips=2)
 
 
 _simple(
@@ -351,7 +356,7 @@ def _era_bubbles(t: Tables) -> DataFrame:
 
 
 _simple(
-    bike_journeys=lambda t: journeys.bike_journeys(t.trips, t.stations),
+    bike_journeys=lambda t: journeys.bike_journeys(t.trips, t.places),
     station_imbalance=lambda t: journeys.station_imbalance(t.named),
     era_bubbles=_era_bubbles,
 )
