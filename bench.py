@@ -1,4 +1,8 @@
-"""Times the headline queries: one JSON line on stdout."""
+"""Times the headline work at one scale: one JSON line on stdout.
+
+Follows the way the tables are used: rides are stored by month, summaries are built
+from the stored rides, and page queries read the stored summaries.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,18 @@ import statistics
 import tempfile
 import time
 
-from checks.queries import QUERIES, Tables
+from checks.queries import MAKERS, StoredTables, Tables
+from pyspark.sql import functions as F
+from ridelens import sinks
 from ridelens.plans.build import build
+from ridelens.plans.ingest import normalize
 from ridelens.session import build_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
-HEADLINES = (
+FROM_RIDES = (
     "system_daily",
     "system_daily_detailed",
     "station_daily",
@@ -28,21 +35,23 @@ HEADLINES = (
     "trip_duration_buckets",
     "time_aggregated",
     "station_dimension",
+    "bike_journeys",
+)
+FROM_SUMMARIES = (
     "hourly_grid",
     "pressure_days",
     "map_detailed",
     "station_table",
-    "top_routes",
-    "duration_stats",
+    "outbound_routes",
+    "system_route_map",
     "trend_line",
-    "bike_journeys",
 )
 
 
 def seconds(run) -> float:
     began = time.perf_counter()
     run()
-    return time.perf_counter() - began
+    return round(time.perf_counter() - began, 3)
 
 
 def main() -> None:
@@ -51,26 +60,12 @@ def main() -> None:
         f"local[{CPUS}]",
         spark__sql__shuffle__partitions=str(CPUS),
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="16g",
     )
     spark.sparkContext.setLogLevel("ERROR")
-
-    def whole(name: str):
-        return lambda: QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
-
-    # The first run compiles and warms up; the middle of the others counts.
-    times = {}
-    for name in HEADLINES:
-        whole(name)()
-        times[name] = round(statistics.median(seconds(whole(name)) for _ in range(RUNS)), 3)
-
-    tables = Tables(spark, FOLDER)
-
-    def build_all() -> None:
-        with tempfile.TemporaryDirectory(prefix="bench-") as out:
-            build(spark, tables.trips, tables.places, out)
-
-    times["build_all_tables"] = round(seconds(build_all), 3)
+    with tempfile.TemporaryDirectory(prefix="bench-") as out:
+        times = run(spark, f"{out}/trips", f"{out}/tables")
     print(
         json.dumps(
             {
@@ -85,5 +80,30 @@ def main() -> None:
     spark.stop()
 
 
+def run(spark, trips_root: str, built: str) -> dict[str, float]:
+    raw = Tables(spark, FOLDER)
+
+    def store_rides() -> None:
+        rides = normalize(raw.trips, raw.places)
+        months = {"year": F.year("started_at"), "month": F.month("started_at")}
+        sinks.write_trips(rides.withColumns(months), trips_root)
+
+    def middle(make) -> float:
+        """The middle of some runs after a first one, which compiles and warms up."""
+        whole = lambda: make().write.format("noop").mode("overwrite").save()
+        whole()
+        return statistics.median(seconds(whole) for _ in range(RUNS))
+
+    times = {"store_rides": seconds(store_rides)}
+    rides = StoredTables(spark, FOLDER, trips_root)
+    for name in FROM_RIDES:
+        times[name] = middle(lambda: MAKERS[name](rides))
+    times["build_all_tables"] = seconds(lambda: build(spark, rides.trips, rides.places, built))
+    summaries = StoredTables(spark, FOLDER, trips_root, built)
+    for name in FROM_SUMMARIES:
+        times[f"{name}_from_tables"] = middle(lambda: MAKERS[name](summaries))
+    return times
+
+
 if __name__ == "__main__":
     main()

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ridelens import standins
 from ridelens.functions import columns as fn
-from ridelens.plans import explorer, filters, flows, ingest, journeys, overview, routes, series, stations, system
+from ridelens.plans import build, explorer, filters, flows, ingest, journeys, overview, routes, series, stations, system
 from ridelens.sources import calendar, raw, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# The same by their tables, which may also be stored ones.
+MAKERS: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 START, END = date(1996, 1, 1), date(2000, 12, 31)
 
@@ -89,6 +91,41 @@ class Tables:
         return self.trips.select(F.year("started_at").alias("year"), F.month("started_at").alias("month"))
 
 
+class StoredTables(Tables):
+    """As Tables, with the rides and the station summaries read from stored tables."""
+
+    def __init__(self, spark: SparkSession, folder: str, trips_root: str, built: str | None = None):
+        super().__init__(spark, folder)
+        self.trips_root, self.built = trips_root, built
+
+    @property
+    def trips(self) -> DataFrame:
+        return tables.read_trips(self.spark, self.trips_root)
+
+    def table(self, name: str, made: DataFrame) -> DataFrame:
+        return made if self.built is None else self.spark.read.parquet(build.table_path(self.built, name))
+
+    @property
+    def daily(self) -> DataFrame:
+        return self.table("station_daily", super().daily)
+
+    @property
+    def detailed(self) -> DataFrame:
+        return self.table("station_daily_detailed", super().detailed)
+
+    @property
+    def hourly(self) -> DataFrame:
+        return self.table("station_hourly", super().hourly)
+
+    @property
+    def routes(self) -> DataFrame:
+        return self.table("station_routes", super().routes)
+
+    @property
+    def system_daily(self) -> DataFrame:
+        return self.table("system_daily", super().system_daily)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to 6 places, so that the order of a sum does not show."""
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
@@ -96,6 +133,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def query(name: str):
     def register(make: Callable[[Tables], DataFrame]):
+        MAKERS[name] = make
         QUERIES[name] = lambda spark, folder: rounded(make(Tables(spark, folder)))
         return make
 

@@ -5,25 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, END = "start", "end"
-
-
 def by_role(trips: DataFrame, start: dict[str, Column], end: dict[str, Column]) -> DataFrame:
-    """Two rows per ride, tagged ``role``, from one scan of the rides.
+    """Two rows per ride, told apart by ``at_start``, from one scan of the rides.
 
     A union of two selects would read the rides twice; the copies made here are
     combined again by the partial aggregate in the same task.
     """
 
-    def seen_from(tag: str, columns: dict[str, Column]) -> Column:
-        return F.struct(F.lit(tag).alias("role"), *[columns[name].alias(name) for name in start])
-
-    return trips.select(F.inline(F.array(seen_from(START, start), seen_from(END, end))))
-
-
-def is_start() -> Column:
-    return F.col("role") == START
-
+    def seen(at_start: bool, columns: dict[str, Column]) -> Column:
+        return F.struct(F.lit(at_start).alias("at_start"), *[columns[name].alias(name) for name in start])
 
-def is_end() -> Column:
-    return F.col("role") == END
+    return trips.select(F.inline(F.array(seen(True, start), seen(False, end))))

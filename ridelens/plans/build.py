@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,29 +39,40 @@ def table_path(out: str, name: str) -> str:
 
 
 def build(
-    spark: SparkSession, trips: DataFrame, stations: DataFrame, out: str, tables: tuple[str, ...] = TABLES
+    spark: SparkSession,
+    trips: DataFrame,
+    stations: DataFrame,
+    out: str,
+    tables: tuple[str, ...] = TABLES,
+    at_once: int = 4,
 ) -> list[str]:
-    """Write the chosen summary tables under ``out``; returns what was written, in order.
+    """Write the chosen summary tables under ``out``; returns the names written.
 
     The rides are scanned once for all system tables and once for both route tables:
     each group shares a cube that is stored beside them and read back, which also ends
-    the lineage there.  The three station tables need one scan each.
+    the lineage there.  The three station tables need one scan each.  What does not
+    depend on another table is written side by side, ``at_once`` at a time.
     """
     unknown = set(tables) - set(TABLES)
     if unknown:
         raise ValueError(f"Unknown tables: {sorted(unknown)}")
-    needed = {_BUILDERS[t][0] for t in tables}
-    order = [c for c in _CUBES if c in needed]
-    order += [t for t in TABLES if t in tables or t in needed]
-    for name in order:
+    bases = {_BUILDERS[t][0] for t in tables} - {"trips"}
+    wanted = [*[c for c in _CUBES if c in bases], *[t for t in TABLES if t in tables or t in bases]]
+    from_trips = [n for n in wanted if n in _CUBES or _BUILDERS[n][0] == "trips"]
+
+    def write(name: str) -> None:
         path = table_path(out, name)
         if name in _CUBES:
             sinks.write_table(_CUBES[name](trips), path)
-            continue
+            return
         base, make = _BUILDERS[name]
         source = trips if base == "trips" else spark.read.parquet(table_path(out, base))
-        sinks.write_table(make(source, stations), path, sinks.LAYOUT[name])
-    return order
+        sinks.write_table(make(source, stations), path, sinks.LAYOUT[name], name in sinks.CLUSTERED)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for wave in (from_trips, [n for n in wanted if n not in from_trips]):
+            list(pool.map(write, wave))
+    return wanted
 
 
 def build_from(spark: SparkSession, trips_root: str, stations_path: str, out: str, tables: tuple[str, ...] = TABLES):

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ridelens.functions import columns as fn
 from ridelens.operators.lookup import attach
-from ridelens.operators.roles import by_role, is_end, is_start
+from ridelens.operators.roles import by_role
 from ridelens.operators.sampling import fixed_size_sample
 
 _PLACE = {"station_name": "station_name", "lat": "lat", "lng": "lng"}
 
 
-def _lone_role(*keys: str) -> Column:
+def _lone_side(*keys: str) -> Column:
     """Keeps the two sides apart where a key is null, as a full join of them would."""
-    return F.when(fn.any_null(*keys), F.col("role")).alias("_lone_role")
+    return F.when(fn.any_null(*keys), F.col("at_start")).alias("_lone_side")
 
 
 def _net_flow(one_sided_null: bool) -> Column:
@@ -27,7 +27,7 @@ def _net_flow(one_sided_null: bool) -> Column:
 def _station_days(trips: DataFrame, kinds: tuple[str, ...], returns_on: str, timed_returns: bool) -> DataFrame:
     """Flows per station and day.
 
-    Rides are first grouped down to (station, day, role, bike), which makes the number
+    Rides are first grouped down to (station, day, side, bike), which makes the number
     of distinct bikes a count of rows, null being one of them.  Both steps combine
     before they shuffle, and the first spreads a hot station over its bikes.
     """
@@ -55,23 +55,25 @@ def _station_days(trips: DataFrame, kinds: tuple[str, ...], returns_on: str, tim
         },
     )
     if not timed_returns:
-        seen = seen.where(is_end() | (F.col("secs") > 0))
+        seen = seen.where(~F.col("at_start") | (F.col("secs") > 0))
     keys = ("station_id", "date", *kinds)
-    per_bike = seen.groupBy(*keys, "role", "bike").agg(F.count(F.lit(1)).alias("n"), F.sum("secs").alias("secs"))
+    per_bike = seen.groupBy(*keys, "at_start", "bike").agg(F.count(F.lit(1)).alias("n"), F.sum("secs").alias("secs"))
+
+    out, back = F.col("at_start"), ~F.col("at_start")
 
     def total(side: Column, value: str) -> Column:
         return F.sum(F.when(side, F.col(value)))
 
     return (
-        per_bike.groupBy(*keys, _lone_role(*keys))
+        per_bike.groupBy(*keys, _lone_side(*keys))
         .agg(
-            F.coalesce(total(is_start(), "n"), F.lit(0)).alias("num_checkouts"),
-            F.coalesce(total(is_end(), "n"), F.lit(0)).alias("num_returns"),
-            F.try_divide(total(is_start(), "secs"), total(is_start(), "n")).alias("avg_out"),
-            F.try_divide(total(is_end(), "secs"), total(is_end(), "n")).alias("avg_in"),
-            F.nullif(F.count_if(is_start()), F.lit(0)).alias("distinct_bikes_out"),
+            F.coalesce(total(out, "n"), F.lit(0)).alias("num_checkouts"),
+            F.coalesce(total(back, "n"), F.lit(0)).alias("num_returns"),
+            F.try_divide(total(out, "secs"), total(out, "n")).alias("avg_out"),
+            F.try_divide(total(back, "secs"), total(back, "n")).alias("avg_in"),
+            F.nullif(F.count_if(out), F.lit(0)).alias("distinct_bikes_out"),
         )
-        .drop("_lone_role")
+        .drop("_lone_side")
     )
 
 
@@ -142,10 +144,10 @@ def station_hourly(trips: DataFrame, stations: DataFrame, *, one_sided_null: boo
         },
     )
     keys = ("station_id", "date", "hour")
-    flows = seen.groupBy(*keys, _lone_role(*keys)).agg(
-        F.count_if(is_start()).alias("num_checkouts"), F.count_if(is_end()).alias("num_returns")
+    flows = seen.groupBy(*keys, _lone_side(*keys)).agg(
+        F.count_if("at_start").alias("num_checkouts"), F.count_if(~F.col("at_start")).alias("num_returns")
     )
-    return attach(flows.drop("_lone_role"), stations, "station_id", **_PLACE).select(
+    return attach(flows.drop("_lone_side"), stations, "station_id", **_PLACE).select(
         "date",
         "hour",
         "station_id",

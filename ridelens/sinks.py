@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# How stored tables are clustered: the columns their readers filter on come first.
+# How stored tables are sorted: the columns their readers filter on come first.
 LAYOUT = {
     "system_daily": ["date"],
     "system_daily_detailed": ["date", "member_type", "rideable_type"],
@@ -19,14 +19,19 @@ LAYOUT = {
     "time_aggregated": ["agg_level", "agg_sort_key"],
 }
 
+# Tables read one station at a time: files hold ranges of stations, so that a reader
+# opens few of them.  The others are small and read whole.
+CLUSTERED = ("station_daily", "station_daily_detailed", "station_hourly")
 
-def write_table(df: DataFrame, path: str, layout: list[str] | None = None) -> None:
-    """Replace a table, range-clustered and sorted by ``layout``.
 
-    Ranges over several columns split a hot first value, and no task sorts the whole.
+def write_table(df: DataFrame, path: str, layout: list[str] | None = None, clustered: bool = False) -> None:
+    """Replace a table, each file sorted by ``layout``.
+
+    ``clustered`` also gives each file a range of it.  Ranges over several columns
+    split a hot first value, and no task sorts the whole.
     """
     if layout:
-        df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
+        df = (df.repartitionByRange(*layout) if clustered else df).sortWithinPartitions(*layout)
     df.write.mode("overwrite").parquet(path)
 
 

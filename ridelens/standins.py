@@ -21,8 +21,8 @@ def _rideable(number: Column) -> Column:
     return F.coalesce(*pairs)
 
 
-def _after(start: Column, seconds: Column) -> Column:
-    return start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+def _after(start: Column, count: Column, unit: str) -> Column:
+    return start + F.expr(f"interval '1' {unit}") * count
 
 
 def _bike(number: Column) -> Column:
@@ -44,14 +44,14 @@ def trips_li(spark: SparkSession, folder: str) -> DataFrame:
     base = line.select(
         ride_id.alias("ride_id"),
         _rideable(c("l_orderkey") % 4).alias("rideable_type"),
-        (c("l_shipdate") + F.make_dt_interval(hours=(c("l_orderkey") % 24).cast("int"))).alias("started_at"),
+        _after(c("l_shipdate"), c("l_orderkey") % 24, "hour").alias("started_at"),
         (whole_quantity * c("l_linenumber") * 60 - 240 + overnight).cast("bigint").alias("duration_sec"),
         F.when(~((c("l_linenumber") == 7) & odd_return), 31000 + c("l_suppkey")).alias("start_station_id"),
         F.when(~((c("l_linenumber") == 6) & odd_return), 31000 + c("l_partkey") % 100).alias("end_station_id"),
         F.when(c("l_linenumber") <= 3, _bike(c("l_partkey") % 500)).alias("bike_number"),
         F.when(c("l_returnflag") == "A", "member").when(odd_return, "casual").alias("member_type"),
     )
-    return base.withColumn("ended_at", _after(c("started_at"), c("duration_sec")))
+    return base.withColumn("ended_at", _after(c("started_at"), c("duration_sec"), "second"))
 
 
 def trips_ev(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +71,7 @@ def trips_ev(spark: SparkSession, folder: str) -> DataFrame:
         F.when(c("event_id") % 2 == 0, _bike(c("user_id"))).alias("bike_number"),
         F.when(kind.isin("click", "purchase"), "member").when(kind.isin("view", "error"), "casual").alias("member_type"),
     )
-    return base.withColumn("ended_at", _after(c("started_at"), c("duration_sec")))
+    return base.withColumn("ended_at", _after(c("started_at"), c("duration_sec"), "second"))
 
 
 def stations(spark: SparkSession, folder: str, trips: DataFrame | None = None, places: bool = True) -> DataFrame:
