@@ -21,33 +21,33 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(df: pd.DataFrame) -> pd.DataFrame:
-    """Columns by name, values comparable across engines, rows in one order."""
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        kind = str(df[c].dtype)
-        if kind.startswith("datetime") or "date" in kind:
-            df[c] = df[c].astype(str).replace("NaT", None)
-        elif kind in ("float64", "float32"):
-            df[c] = df[c].map(lambda v: None if pd.isna(v) else v + 0.0)
-        df[c] = df[c].astype(object).where(df[c].notna(), None)
-        df[c] = df[c].map(lambda v: repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else (None if v is None else str(v)))
-    key = df.apply(lambda r: "\x1f".join("" if v is None else str(v) for v in r), axis=1) if len(df) else []
-    return df.assign(_k=key).sort_values("_k").drop(columns="_k").reset_index(drop=True)
+def _texts(column: pd.Series) -> list[str]:
+    """Values of a column as text that is the same for both engines."""
+    kind = str(column.dtype)
+    if kind.startswith(("int", "uint", "float")):
+        return ["" if v != v else repr(float(v) + 0.0) for v in column.tolist()]
+    missing = column.isna().tolist()
+    if kind.startswith("datetime"):
+        texts = column.dt.strftime("%Y-%m-%d %H:%M:%S.%f").tolist()
+        return ["" if m else t.removesuffix(" 00:00:00.000000") for t, m in zip(texts, missing)]
+    values = column.tolist()
+    if any(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+        return ["" if m else repr(float(v) + 0.0) for v, m in zip(values, missing)]
+    return ["" if m else f"={v}" if isinstance(v, str) else str(v) for v, m in zip(values, missing)]
 
 
 def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
-    """What differs between two results, or None."""
-    if sorted(spark_frame.columns) != sorted(sql_frame.columns):
-        return f"columns {sorted(spark_frame.columns)} vs {sorted(sql_frame.columns)}"
+    """What differs between two results, columns taken by name and rows in any order."""
+    names = sorted(spark_frame.columns)
+    if names != sorted(sql_frame.columns):
+        return f"columns {names} vs {sorted(sql_frame.columns)}"
     if len(spark_frame) != len(sql_frame):
         return f"rows {len(spark_frame)} vs {len(sql_frame)}"
-    a, b = _plain(spark_frame), _plain(sql_frame)
-    bad = [c for c in a.columns if not a[c].equals(b[c])]
-    if bad:
-        rows = a.index[(a[bad] != b[bad]).any(axis=1) & ~(a[bad].isna() & b[bad].isna()).all(axis=1)][:3]
-        return f"values in {bad}\n{a.loc[rows].to_string()}\n{b.loc[rows].to_string()}"
-    return None
+    ours, theirs = (sorted(zip(*[_texts(df[c]) for c in names])) for df in (spark_frame, sql_frame))
+    if ours == theirs:
+        return None
+    apart = [(a, b) for a, b in zip(ours, theirs) if a != b]
+    return f"{len(apart)} rows of {names}, first: {apart[:2]}"
 
 
 def types_differ(spark_df, con, sql: str) -> list[str]:

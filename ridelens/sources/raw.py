@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -69,15 +70,20 @@ class Batch:
 def batches(spark: SparkSession, paths: list[str]) -> list[Batch]:
     """Group files by format and header.
 
-    Looks at one line or footer per file.  CSV columns are all read as text: a type
-    inferred from one month would not hold for the next.
+    Looks at one line or footer per file, a few files at a time.  CSV columns are all
+    read as text: a type inferred from one month would not hold for the next.
     """
+
+    def look(path: str) -> tuple[str, T.StructType]:
+        if path.endswith(".parquet"):
+            return "parquet", spark.read.parquet(path).schema
+        return "csv", spark.read.option("header", "true").csv(path).schema
+
+    paths = sorted(paths)
     groups: dict[tuple[str, str], tuple[T.StructType, list[str]]] = {}
-    for path in sorted(paths):
-        kind = "parquet" if path.endswith(".parquet") else "csv"
-        reader = spark.read.option("header", "true") if kind == "csv" else spark.read
-        schema = getattr(reader, kind)(path).schema
-        groups.setdefault((kind, schema.json()), (schema, []))[1].append(path)
+    with ThreadPoolExecutor(8) as pool:
+        for path, (kind, schema) in zip(paths, pool.map(look, paths)):
+            groups.setdefault((kind, schema.json()), (schema, []))[1].append(path)
     return [Batch(kind, schema, tuple(found)) for (kind, _), (schema, found) in groups.items()]
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KIND_NO = {0: "classic_bike", 1: "electric_bike", 2: "docked_bike"}
 
 
+@lru_cache(maxsize=64)
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table; its schema is looked up once per session."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     # Without a zone whether or not the file marks its times as UTC.
     return df.select(

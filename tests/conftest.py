@@ -22,7 +22,7 @@ def spark():
     session = build_session(
         "tests",
         "local[4]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="3",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
@@ -78,3 +78,7 @@ def dimension(spark):
 def records(df, *order: str) -> list[dict]:
     rows = [r.asDict(recursive=True) for r in df.collect()]
     return sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in order]) if order else rows
+
+
+def plan_of(df, mode: str = "formatted") -> str:
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from conftest import SMALL, plan_of
 from ridelens import sinks, standins
 from ridelens.plans import build, explorer, overview, system
 from ridelens.sources import tables
@@ -48,7 +48,7 @@ def test_station_slice_is_pushed_to_a_clustered_table(spark, built):
     out, _ = built
     path = build.table_path(f"{out}/tables", "station_hourly")
     df = tables.read_filtered(spark, path, "station_id", 31005)
-    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    plan = plan_of(df)
     assert "PushedFilters: [IsNotNull(station_id), EqualTo(station_id,31005)]" in plan
     ranges = (
         spark.read.parquet(path)

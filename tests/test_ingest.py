@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import records
+from conftest import plan_of, records
 from ridelens.plans import ingest
 from ridelens.schemas import CANONICAL, STATIONS, TRIPS
 from ridelens.sources import calendar, raw, tables
@@ -203,7 +203,3 @@ def test_date_range_reaches_the_scan(spark, folders, known):
     plan = plan_of(pruned)
     assert "PushedFilters: [IsNotNull(started_at), GreaterThanOrEqual(started_at" in plan
     assert "PartitionFilters: [isnotnull(year" in plan
-
-
-def plan_of(df) -> str:
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -8,40 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
-from conftest import SMALL
+from conftest import SMALL, plan_of
 from ridelens.operators.lookup import attach
 
 
-def plan_of(df, mode: str = "formatted") -> str:
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
-
-
-# Windows without a partition: over at most k rows of a top-k, or 25 duration buckets.
-ONE_TASK_WINDOWS = {
-    "top_routes",
-    "top_routes_filtered",
-    "route_table",
-    "route_kpis",
-    "system_route_map",
-    "route_endpoints",
-    "peak_hours",
-    "duration_histogram",
-    "duration_stats",
-    "station_daily_sample",
-}
-
-
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_no_plan_crosses_tables_leaves_the_jvm_or_gathers_rows(spark, name):
-    plan = plan_of(QUERIES[name](spark, SMALL))
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas", "CollectLimit"):
-        assert operator not in plan
-    windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", plan)
-    alone = [w for w in windows if re.match(r"_?\w+#\d+L? (ASC|DESC)", w.strip())]
-    assert bool(alone) == (name in ONE_TASK_WINDOWS)
-    assert "collect_list" not in plan and "collect_set" not in plan
-
-
 def test_rides_are_scanned_once_per_flow_table(spark):
     for name in ("station_daily", "station_daily_detailed", "station_hourly"):
         plan = plan_of(QUERIES[name](spark, SMALL), "simple")
