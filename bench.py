@@ -94,11 +94,15 @@ def run(spark, trips_root: str, built: str) -> dict[str, float]:
         whole()
         return statistics.median(seconds(whole) for _ in range(RUNS))
 
-    times = {"store_rides": seconds(store_rides)}
+    def second(work) -> float:
+        work()
+        return seconds(work)
+
+    times = {"store_rides": second(store_rides)}
     rides = StoredTables(spark, FOLDER, trips_root)
     for name in FROM_RIDES:
         times[name] = middle(lambda: MAKERS[name](rides))
-    times["build_all_tables"] = seconds(lambda: build(spark, rides.trips, rides.places, built))
+    times["build_all_tables"] = second(lambda: build(spark, rides.trips, rides.places, built))
     summaries = StoredTables(spark, FOLDER, trips_root, built)
     for name in FROM_SUMMARIES:
         times[f"{name}_from_tables"] = middle(lambda: MAKERS[name](summaries))
