@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.llm import byte_bpe, exact_dedup, token_counts
-from ridelens.llm.shared import table
+from ridelens.llm import byte_bpe, exact_dedup, ngram_join, token_counts
+from ridelens.llm.shared import known_to_workers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[make.__name__] = make
-    return make
+    @wraps(make)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known_to_workers(spark)
+        return make(spark, sf_dir)
+
+    QUERIES[make.__name__] = run
+    return run
 
 
 @query
@@ -45,3 +51,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))

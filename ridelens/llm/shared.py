@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -15,6 +16,15 @@ from pyspark.sql import functions as F
 tokenizer_path = public_tokenizers.path
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from wherever the driver did.
+
+    On a cluster the package is installed or sent along (``--py-files``).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
