@@ -20,7 +20,7 @@ from ridelens.llm.shared import Memo, held_out, stored
 ROWS = 100_000  # labelled rows to learn from, at most (chosen by a hash of their ids)
 FEATURES = 65_536  # of a model, at most: the most significant
 PRIOR = 0.05  # weight of the Dirichlet prior, as a share of all counts
-SIGNIFICANT = 3.0  # standard deviations that a log-odds must be away from 0
+SIGNIFICANT = 2.5  # standard deviations that a log-odds must be away from 0
 DRIFT = 0.5  # cost of a token that says nothing, so that chance segments stay short
 PREFIXES = (4, 5)  # letters of the beginnings that stand for words not met before; two more must follow
 THRESHOLD = 0.3
