@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.llm import byte_bpe, exact_dedup, mixing, ngram_join, token_counts, token_files, toxicity
+from ridelens.llm import byte_bpe, exact_dedup, imatch, language_id, licenses, mixing, ngram_join, token_counts, token_files, toxicity
 from ridelens.llm.shared import known_to_workers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,82 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files under stand-in paths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", licenses.standin_path().alias("path"), "text")
+    return licenses.licences(docs, keep=("doc_id",))
+
+
+def _licence_sql() -> str:
+    """The same in SQL; weights are made from the templates' terms there too."""
+    terms = ", ".join(
+        f"({i}, '{name}', '{term}')" for i, (name, text) in enumerate(licenses.TEMPLATES) for term in licenses.template_terms(text)
+    )
+    n = len(licenses.TEMPLATES)
+    return f"""
+WITH words(template, licence, term) AS (VALUES {terms}),
+tf AS (SELECT template, licence, term, count(*) AS n FROM words GROUP BY ALL),
+idf AS (SELECT term, ln({1 + n}.0 / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+raw AS (SELECT template, licence, term, n * idf AS w FROM tf JOIN idf USING (term)),
+weights AS (SELECT template, licence, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM raw),
+files AS (
+    SELECT CASE WHEN doc_id % 20 != 0 THEN concat_ws('/', source, lang, 'd' || doc_id % 7)
+                WHEN doc_id // 20 % 3 = 0 THEN source
+                WHEN doc_id // 20 % 3 = 1 THEN concat_ws('/', source, lang)
+                ELSE concat_ws('/', source, lang, 'd' || doc_id % 7) END AS dir,
+           CASE WHEN doc_id % 20 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name,
+           doc_id, text
+    FROM documents
+),
+lines AS (SELECT dir || '/' || name AS path, unnest(string_split(text, chr(10))) AS line FROM files),
+sentences AS (
+    SELECT path, unnest(string_split_regex(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n')) AS sentence FROM lines
+),
+numbered AS (SELECT path, row_number() OVER () AS k, lower(sentence) AS sentence FROM sentences WHERE lower(sentence) SIMILAR TO '.*[a-z0-9].*'),
+terms AS (
+    SELECT path, k, term, count(*) AS n
+    FROM (SELECT path, k, unnest(string_split_regex(sentence, '[^a-z0-9]+')) AS term FROM numbered) WHERE term != '' GROUP BY ALL
+),
+weighed AS (SELECT path, k, t.term, n * coalesce(idf, ln({1 + n}.0) + 1) AS w FROM terms t LEFT JOIN idf USING (term)),
+norms AS (SELECT path, k, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+scored AS (
+    SELECT path, licence, round(sum(w * weight) / any_value(norm), 6) AS score
+    FROM weighed JOIN weights USING (term) JOIN norms USING (path, k) GROUP BY path, k, template, licence
+),
+own AS (
+    SELECT path, licence, score FROM scored WHERE score >= {licenses.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1
+),
+given AS (
+    SELECT dir AS above, licence AS given FROM own JOIN files ON path = dir || '/' || name
+    WHERE name LIKE 'LICENSE.%'
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1
+),
+nearest AS (
+    SELECT dir, given, above AS licence_dir
+    FROM (SELECT DISTINCT dir FROM files) JOIN given ON dir = above OR starts_with(dir, above || '/')
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1
+)
+SELECT doc_id, dir || '/' || name AS path,
+       coalesce(licence, given) AS licence,
+       score,
+       CASE WHEN licence IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       CASE WHEN licence IS NULL THEN licence_dir END AS licence_dir
+FROM files LEFT JOIN own ON path = dir || '/' || name LEFT JOIN nearest USING (dir)
+"""
+
+
+ORACLES["op5_licenses"] = _licence_sql()
