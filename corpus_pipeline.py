@@ -11,29 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
-from ridelens.llm.shared import known_to_workers, stored, table
+from ridelens.llm.shared import prepare, stored, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
+    prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scored(model, F.col("text"))["score"] < toxicity.THRESHOLD)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id."""
+    prepare(spark)
     copies = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the one with the largest id."""
+    prepare(spark)
     others = ngram_join.near_duplicates(docs).where("doc_id != class_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says; small domains gain, large ones lose."""
+    prepare(spark)
     mixed = mixing.mixture(docs, table(spark, sf_dir, "labels"))
     copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     times = F.coalesce("_copies", F.lit(1))
@@ -43,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their tokens, and whether these decode to the text."""
+    prepare(spark)
     coded = byte_bpe.decode(byte_bpe.encode(docs, "ids"), "decoded", "ids")
     text = F.coalesce("text", F.lit("")).cast("binary")
     return coded.select(
@@ -63,7 +68,6 @@ ORACLE_SQL = None  # learned scores, MinHash and merges are not SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage makes is written to the shared folder and read again."""
-    known_to_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -35,7 +35,7 @@ def _number(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term)
 
 
-_numbers = Memo(_number, 400_000)
+_numbers = Memo(_number, 200_000)
 
 
 def terms(text: str) -> np.ndarray:

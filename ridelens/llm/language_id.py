@@ -20,7 +20,7 @@ VOCABULARY = "piece_bpe_32k.model"
 ROWS = 10_000  # texts to learn from, at most (chosen by a hash of their ids)
 ROUNDS = 2  # of expected counts
 LONGEST = 12  # letters of a piece
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 UNDETERMINED = "und"
 MARK = "▁"  # begins a word in the vocabulary
 

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.llm import byte_bpe, exact_dedup, imatch, language_id, licenses, mixing, ngram_join, token_counts, token_files, toxicity
-from ridelens.llm.shared import known_to_workers, table
+from ridelens.llm.shared import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def query(make: Callable[[SparkSession, str], DataFrame]):
     @wraps(make)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        known_to_workers(spark)
+        prepare(spark)
         return make(spark, sf_dir)
 
     QUERIES[make.__name__] = run

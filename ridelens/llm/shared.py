@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 tokenizer_path = public_tokenizers.path
 
 
-def known_to_workers(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from wherever the driver did.
+BATCH_ROWS = 1000  # that go to Python at once: texts may be long, and two tasks share an executor's memory
+
+
+def prepare(spark: SparkSession) -> None:
+    """Keeps batches for Python small, and lets Python workers on this machine import the package.
 
     On a cluster the package is installed or sent along (``--py-files``).
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 

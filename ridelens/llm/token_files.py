@@ -37,7 +37,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.known = Memo(self._word, 400_000)
+        self.known = Memo(self._word, 300_000)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, with the end id."""

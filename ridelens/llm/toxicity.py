@@ -61,7 +61,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts labelled 0 and 1 with each feature, added up for each batch. A text that repeats a word counts once."""
-    numbers = Memo(features, 300_000)
+    numbers = Memo(features, 100_000)
     for batch in batches:
         counts: dict[int, list[int]] = {}
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -112,7 +112,7 @@ class Scorer:
     odds: dict[int, float]
 
     def __post_init__(self):
-        self.known = Memo(self._score, 300_000)
+        self.known = Memo(self._score, 200_000)
 
     def _score(self, token: str) -> float:
         """Of a token's known features the strongest for toxicity; the drift where it has none."""
@@ -194,9 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     rate, size = chance(np.array([b.value for b in bins]), np.array([b.n for b in bins])) if bins else (1.0, 0.1)
 
     @F.pandas_udf("double")
-    def statistic(column: pd.Series) -> pd.Series:
+    def statistic(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(odds)
-        return column.map(lambda t: (lambda s: excess(segments(s), len(s), rate, size))(scorer.scores(t))).astype("float64")
+        for column in columns:
+            scores = map(scorer.scores, column)
+            yield pd.Series([excess(segments(s), len(s), rate, size) for s in scores], dtype="float64")
 
     moments = known.where("calibrates").select("label", statistic("text").alias("x")).groupBy("label").agg(F.count_if(F.col("x") > 0), F.sum("x"), F.count(F.lit(1)))
     by_class = {label: (over, total, n) for label, over, total, n in moments.collect()}
@@ -232,7 +234,7 @@ def scored(model: Model, text: Column) -> Column:
     """score, and the significant passages as first and last word and segment score, of a text."""
 
     @F.pandas_udf(SCORED)
-    def run(column: pd.Series) -> pd.DataFrame:
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.odds)
 
         def of(t: str) -> tuple:
@@ -242,7 +244,8 @@ def scored(model: Model, text: Column) -> Column:
             told = [{"first": a, "last": b, "score": v} for a, b, v in found if model.rate * v > limit]
             return posterior(excess(found, len(s), model.rate, model.size), model), told
 
-        return pd.DataFrame([of(t) for t in column], columns=["score", "passages"])
+        for column in columns:
+            yield pd.DataFrame([of(t) for t in column], columns=["score", "passages"])
 
     return run(F.coalesce(text, F.lit("")))
 
