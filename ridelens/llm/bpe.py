@@ -37,7 +37,7 @@ class Ranks:
     two neighbours and for every token by itself. So encoders need only `fits`.
     """
 
-    def __init__(self, ids: dict[bytes, int], memo: int = 300_000):
+    def __init__(self, ids: dict[bytes, int], memo: int = 150_000):
         self.ids = ids
         self.bytes_of = {i: token for token, i in ids.items()}
         self.longest = max(map(len, ids))

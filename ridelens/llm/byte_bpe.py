@@ -16,7 +16,7 @@ from ridelens.llm.bpe import Ranks, read_ranks
 from ridelens.llm.shared import Memo, tokenizer_path, units
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-UNITS_KEPT, PIECES_KEPT = 150_000, 400_000
+UNITS_KEPT, PIECES_KEPT = 80_000, 250_000
 
 
 class Encoder:

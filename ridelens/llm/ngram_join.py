@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.llm.components import components
-from ridelens.llm.shared import once, stored, texts
+from ridelens.llm.shared import stored, texts
 from ridelens.llm.words import Hasher, mix
 
 SIZE, THRESHOLD = 5, 0.8
@@ -23,8 +23,6 @@ STEP, TOLERANCE = 20, 1e-9  # values compared at a time; least posterior to go o
 BLOCK = 256  # members of a candidate group compared at once
 COLUMNS = 4096  # shingles of a block multiplied at once
 
-hasher = once(Hasher)
-
 
 # --- MinHash --------------------------------------------------------------------------
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +58,11 @@ def least_agreeing(compared: int, threshold: float = THRESHOLD, tolerance: float
 
 # --- candidates -----------------------------------------------------------------------
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher()
     for batch in batches:
         keys, bands = [], []
         for text in batch.column("text").to_pylist():
-            shingles = hasher().shingles(text, SIZE)
+            shingles = hasher.shingles(text, SIZE)
             if not len(shingles):
                 keys.append(None)
                 bands.append(None)
@@ -188,8 +187,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text replaced by its shingles; other columns stay."""
+    hasher = Hasher()
     for batch in batches:
-        data = [hasher().shingles(text, SIZE).tobytes() for text in batch.column("text").to_pylist()]
+        data = [hasher.shingles(text, SIZE).tobytes() for text in batch.column("text").to_pylist()]
         at = batch.schema.get_field_index("text")
         yield batch.set_column(at, "data", pa.array(data, pa.binary()))
 

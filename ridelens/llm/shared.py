@@ -25,6 +25,9 @@ def prepare(spark: SparkSession) -> None:
     On a cluster the package is installed or sent along (``--py-files``).
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # As RDD code has it: Python workers are shared only among code with equal settings,
+    # and idle ones of another kind hold memory.
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
@@ -92,18 +95,6 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def once(make: Callable):
-    """A value that each Python worker makes once, at first use, and keeps between tasks."""
-    kept: list = []
-
-    def get():
-        if not kept:
-            kept.append(make())
-        return kept[0]
-
-    return get
-
-
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     first, *rest = frames
     for df in rest:

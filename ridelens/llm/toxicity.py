@@ -112,7 +112,7 @@ class Scorer:
     odds: dict[int, float]
 
     def __post_init__(self):
-        self.known = Memo(self._score, 200_000)
+        self.known = Memo(self._score, 120_000)
 
     def _score(self, token: str) -> float:
         """Of a token's known features the strongest for toxicity; the drift where it has none."""

@@ -7,7 +7,7 @@ import xxhash
 
 from ridelens.llm.shared import Memo
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
