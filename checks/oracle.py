@@ -397,10 +397,11 @@ FROM ({_grid("net_flow")}) GROUP BY 1)""",
 )
 _add(
     "pressure_days",
-    f"""SELECT station_id, date, nf AS net_flow, threshold FROM {_DAYS} JOIN
-(SELECT station_id, a AS threshold FROM (SELECT station_id, abs(nf) AS a, row_number() OVER (PARTITION BY station_id ORDER BY abs(nf)) - 1 AS i,
- count(*) OVER (PARTITION BY station_id) AS n FROM {_DAYS})
- WHERE i = CAST(floor((n - 1) * CAST(0.9 AS DOUBLE) + 0.5) AS BIGINT)) USING (station_id) WHERE abs(nf) > threshold""",
+    f"""SELECT station_id, date, nf AS net_flow, threshold FROM (
+SELECT station_id, date, nf, a, max(CASE WHEN i = CAST(floor((n - 1) * CAST(0.9 AS DOUBLE) + 0.5) AS BIGINT) THEN a END)
+ OVER (PARTITION BY station_id) AS threshold
+FROM (SELECT station_id, date, nf, abs(nf) AS a, row_number() OVER (PARTITION BY station_id ORDER BY abs(nf)) - 1 AS i,
+ count(*) OVER (PARTITION BY station_id) AS n FROM {_DAYS})) WHERE a > threshold""",
 )
 _add(
     "flow_class",
@@ -586,9 +587,11 @@ CAST(sum(trips) AS DOUBLE) / count(*) AS avg_daily_trips FROM system_daily WHERE
     "avg_duration_min",
     "avg_daily_trips",
 )
-_PATTERNS = "(SELECT * FROM trip_patterns WHERE year_month BETWEEN '1996-01' AND '2000-12')"
+_PATTERNS = "trip_patterns"
+_MONTHS = "year_month BETWEEN '1996-01' AND '2000-12'"
 _HOURS = f"SELECT hour, CAST(sum(trip_count) AS BIGINT) AS trip_count FROM {_PATTERNS} GROUP BY 1"
 _add("trips_by_hour", _HOURS)
+_add("patterns_filtered", _HOURS.replace(_PATTERNS, f"(SELECT * FROM {_PATTERNS} WHERE {_MONTHS})"))
 _add(
     "peak_hours",
     f"SELECT *, CAST(row_number() OVER (ORDER BY trip_count DESC, hour) AS INTEGER) AS position FROM ({_HOURS}) ORDER BY position LIMIT 3",
@@ -599,21 +602,18 @@ _add(
 CASE weekday WHEN 1 THEN 'Mon' WHEN 2 THEN 'Tue' WHEN 3 THEN 'Wed' WHEN 4 THEN 'Thu' WHEN 5 THEN 'Fri' WHEN 6 THEN 'Sat' ELSE 'Sun' END AS weekday_label
 FROM {_PATTERNS} GROUP BY 1""",
 )
-_BUCKETS = """(SELECT bucket_start_min AS b, CAST(sum(trip_count) AS BIGINT) AS n FROM trip_duration_buckets
-WHERE year_month BETWEEN '1996-01' AND '2000-12' AND member_type IN ('member') GROUP BY 1)"""
+_BUCKETS = "(SELECT bucket_start_min AS b, CAST(sum(trip_count) AS BIGINT) AS n FROM trip_duration_buckets GROUP BY 1)"
 _add(
     "duration_histogram",
     f"""SELECT b AS bucket_start_min, CASE WHEN b = 120 THEN '120+' ELSE CAST(b AS VARCHAR) || '–' || CAST(b + 5 AS VARCHAR) END AS label,
 n AS trip_count, CAST(sum(n) OVER (ORDER BY b) AS BIGINT) AS running FROM {_BUCKETS}""",
 )
-_add(
-    "duration_stats",
-    f"""SELECT CAST(sum(n) AS BIGINT) AS total_trips, sum((b + 2.5) * n) / sum(n) AS mean_min,
+_STATS = f"""SELECT CAST(sum(n) AS BIGINT) AS total_trips, sum((b + 2.5) * n) / sum(n) AS mean_min,
 CAST(min(CASE WHEN c >= 0.5 * total THEN b END) + 2.5 AS DOUBLE) AS median_min,
 CAST(coalesce(min(CASE WHEN c >= 0.99 * total THEN b END), max(b)) + 5 AS DOUBLE) AS p99_min
-FROM (SELECT *, sum(n) OVER (ORDER BY b) AS c, sum(n) OVER () AS total FROM {_BUCKETS})""",
-    "mean_min",
-)
+FROM (SELECT *, sum(n) OVER (ORDER BY b) AS c, sum(n) OVER () AS total FROM {_BUCKETS})"""
+_add("duration_stats", _STATS, "mean_min")
+_add("duration_stats_filtered", _STATS.replace("GROUP BY 1)", f"WHERE {_MONTHS} AND member_type IN ('member') GROUP BY 1)"), "mean_min")
 _add(
     "duration_ranges",
     f"""SELECT label AS range, CAST(coalesce(sum(n), 0) AS BIGINT) AS trip_count,
@@ -623,9 +623,10 @@ FROM (VALUES ('Quick (0–10 min)', 0, 10), ('Short (10–20 min)', 10, 20), ('M
 LEFT JOIN {_BUCKETS} x ON b >= lo AND b < hi GROUP BY 1""",
     "pct",
 )
-_DETAIL = f"(SELECT * FROM system_daily_detailed WHERE {_RANGE})"
+_DETAIL = "system_daily_detailed"
 _TREND = f"SELECT date, CAST(sum(trips) AS BIGINT) AS trips FROM {_DETAIL} GROUP BY 1"
 _add("daily_trend", _TREND)
+_add("daily_trend_filtered", _TREND.replace(_DETAIL, f"(SELECT * FROM {_DETAIL} WHERE {_RANGE})"))
 _add(
     "busiest_quietest",
     f"""SELECT (SELECT date FROM ({_TREND}) ORDER BY trips DESC, date LIMIT 1) AS busiest_date, max(trips) AS busiest_trips,

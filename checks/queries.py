@@ -69,16 +69,15 @@ class Tables:
 
     @property
     def system_detailed(self) -> DataFrame:
-        return filters.between_dates(system.system_daily_detailed(self.trips), START, END)
+        return system.system_daily_detailed(self.trips)
 
     @property
     def patterns(self) -> DataFrame:
-        return filters.between_months(system.trip_patterns(self.trips), START, END)
+        return system.trip_patterns(self.trips)
 
     @property
     def buckets(self) -> DataFrame:
-        months = filters.between_months(system.trip_duration_buckets(self.trips), START, END)
-        return filters.of_kinds(months, members=("member",))
+        return system.trip_duration_buckets(self.trips)
 
     @property
     def loaded(self) -> DataFrame:
@@ -372,6 +371,12 @@ _simple(
     by_member=lambda t: overview.by_member(t.system_detailed),
     by_rideable=lambda t: overview.by_rideable(t.system_detailed),
     annual_totals=lambda t: overview.annual_totals(t.system_detailed),
+    # The pages' filters: a range of dates or months, kinds of members.
+    patterns_filtered=lambda t: overview.trips_by_hour(filters.between_months(t.patterns, START, END)),
+    duration_stats_filtered=lambda t: overview.duration_stats(
+        filters.of_kinds(filters.between_months(t.buckets, START, END), members=("member",))
+    ),
+    daily_trend_filtered=lambda t: overview.daily_trend(filters.between_dates(t.system_detailed, START, END)),
     time_summary=lambda t: _summary(t, "day"),
     time_summary_dow=lambda t: _summary(t, "day_of_week"),
     time_kpis=lambda t: overview.time_kpis(_summary(t, "month")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,17 @@ from ridelens.sources import raw
 from ridelens.sources.tables import loaded_months, read_stations
 
 
+# Layouts of times in text files besides ISO's.
+TIME_LAYOUTS = ("yyyy/M/d H:mm[:ss]", "M/d/yyyy H:mm[:ss]")
+
+
 # --- one raw table to canonical form --------------------------------------------------
 def _as_time(df: DataFrame, name: str) -> Column:
-    """Text is parsed, unreadable text becoming null; typed times are taken as they are."""
+    """Text is read by the first of TIME_LAYOUTS that fits, else null; typed times are taken as they are."""
     if dict(df.dtypes)[name] == "string":
-        return F.col(name).try_cast("timestamp_ntz")
+        text = F.col(name)
+        others = [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in TIME_LAYOUTS]
+        return F.coalesce(text.try_cast("timestamp_ntz"), *others)
     return F.col(name).cast("timestamp_ntz")
 
 
@@ -72,13 +79,16 @@ def _typed(df: DataFrame, field) -> Column:
 def pick_files(files: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
     """Files to load: known names, not yet loaded months, one file per name stem.
 
-    If a stem comes in both formats the Parquet file, last in name order, is taken.
+    Of several files of a stem, in other folders or formats, the last in the order of
+    full paths is taken; ``passed_over`` counts the others.
     """
     wanted = files.where("kind != 'ignore'")
     if loaded is not None:
         months = loaded.select(F.col("year").alias("file_year"), F.col("month").alias("file_month"))
         wanted = wanted.join(months, ["file_year", "file_month"], "left_anti")
-    return wanted.groupBy("kind", "file_year", "file_month").agg(F.max_by("path", "file_name").alias("path"))
+    return wanted.groupBy("kind", "file_year", "file_month").agg(
+        F.max("path").alias("path"), (F.count(F.lit(1)) - 1).alias("passed_over")
+    )
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -113,6 +123,9 @@ def load_trips(
     picked = pick_files(raw.list_files(spark, raw_folder), loaded).collect()
     if not picked:
         return False
+    for file in picked:
+        if file.passed_over:
+            warnings.warn(f"{file.path} taken; {file.passed_over} more of this month or year passed over", stacklevel=2)
     settled = [(r.file_year, r.file_month) for r in picked if r.kind == "monthly"]
     if loaded is not None:
         settled += [(r.year, r.month) for r in loaded.collect()]

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from ridelens.schemas import STATIONS, TRIPS
 
 
-def read_trips(spark: SparkSession, root: str, start=None, end=None, slack_months: int | None = None) -> DataFrame:
+def read_trips(spark: SparkSession, root: str, start=None, end=None, slack_months: int | None = 1) -> DataFrame:
     """The stored rides, optionally those that started from ``start`` to ``end``.
 
     The date range reaches the scan as a filter on started_at, which skips row groups.
     Monthly files keep their file's month, so a ride may lie in a neighbouring
-    partition: partitions are pruned only when ``slack_months`` says how far off that
-    can be.
+    partition: ``slack_months`` says how far off that can be when partitions are pruned;
+    None prunes none.
     """
     trips = spark.read.schema(TRIPS).parquet(root)
     partition = F.col("year") * 12 + F.col("month")

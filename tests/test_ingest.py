@@ -198,8 +198,23 @@ def test_date_range_reaches_the_scan(spark, folders, known):
     ranged = tables.read_trips(spark, root, "2024-01-15", "2024-02-01")
     # The ride of 1 February lies in the January file's partition.
     assert [r.ride_id for r in ranged.collect()] == ["x2"]
+    by_default = plan_of(tables.read_trips(spark, root, "2024-01-15", "2024-02-01"))
+    assert "PartitionFilters: [" in by_default
     pruned = tables.read_trips(spark, root, "2024-01-15", "2024-02-01", slack_months=0)
     assert [r.ride_id for r in pruned.collect()] == ["x2"]
     plan = plan_of(pruned)
     assert "PushedFilters: [IsNotNull(started_at), GreaterThanOrEqual(started_at" in plan
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_equal_names_in_two_folders_keep_the_last_path(spark):
+    files = spark.createDataFrame([("/r/b/202401.csv", "202401.csv"), ("/r/a/202401.csv", "202401.csv")], "path string, file_name string")
+    assert [(r.path, r.passed_over) for r in ingest.pick_files(raw.with_file_kind(files)).collect()] == [("/r/b/202401.csv", 1)]
+
+
+def test_time_layouts(spark):
+    texts = ["2015-03-05 08:00:00", "3/5/2015 8:00", "2015/03/05 08:00:00", "n/a"]
+    df = spark.createDataFrame([(t,) for t in texts], "started_at string")
+    stations = spark.createDataFrame([], "station_id long, station_name string, lat double, lng double")
+    got = [str(r.started_at) for r in ingest.normalize(df, stations).select("started_at").collect()]
+    assert got == ["2015-03-05 08:00:00"] * 3 + ["None"]

@@ -23,6 +23,7 @@ ONE_TASK_WINDOWS = {
     "peak_hours",
     "duration_histogram",
     "duration_stats",
+    "duration_stats_filtered",
     "station_daily_sample",
 }
 
