@@ -15,7 +15,7 @@ from ridelens.llm.shared import stored, union_all
 
 BITS = 48  # of a fingerprint: among n texts, one in 2**48 / n is suspected without cause
 BATCH = 8  # rows to a batch; the exchange moves a hundred batches at a time
-OWNERS = 4096  # at most; fewer where there are fewer partitions
+OWNERS, OWNED = 65_536, 100_000  # owners at most, rows for each; no more owners than partitions
 
 MARKED = "doc_id long, text_sha256 string, suspect binary"
 
@@ -138,7 +138,7 @@ def marked(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary")).rdd
     senders = rows.getNumPartitions()
-    owners = max(1, min(owners, senders))
+    owners = max(1, min(owners, senders, -(-docs.count() // OWNED)))
     messages = rows.mapPartitionsWithIndex(lambda i, part: _send(i, part, owners))
     replies = messages.partitionBy(owners, int).mapPartitions(_answer)
     inbox = replies.partitionBy(max(senders, 1), int).mapPartitions(_inbox)
