@@ -84,11 +84,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """node and component for every set that shares a band key with another; sets: node, bands.
 
-    Each set is tied to the least one with the same key instead of to all others.
+    Each set is tied to the least one with the same key instead of to all others. Of its
+    least ones, at most one for each band, the very least is its hub: the set and the
+    others are tied to that, so that a large group has few ties for each set.
     """
     keys = sets.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    ties = keys.join(least, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    ties = keys.join(least, "key").groupBy("node").agg(F.collect_set("b").alias("least"), F.min("b").alias("b"))
+    ties = ties.select(F.explode(F.array_union("least", F.array("node"))).alias("a"), "b").where("a != b").distinct()
     return components(ties)
 
 
@@ -206,7 +209,8 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     placed = groups.join(size, "component").select(
         "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("side")
     )
-    chosen = placed.join(sets, "node").select("component", "node", "side", "blocks", "text")
+    # The chosen sets grow with the corpus: they are never sent to all machines.
+    chosen = placed.hint("merge").join(sets, "node").select("component", "node", "side", "blocks", "text")
     data = chosen.mapInArrow(_shingle_bytes, "component long, node long, side int, blocks int, data binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = data.select("component", "node", "side", "data", other)
