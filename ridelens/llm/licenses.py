@@ -9,6 +9,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelens.llm.shared import stored
+
 THRESHOLD = 0.75
 
 # Sentences by which well-known licences are named or begin.
@@ -51,21 +53,34 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, flo
     return rows, idf, math.log(1 + len(templates)) + 1
 
 
-def markers(rows: list[tuple[int, str, str, float]], threshold: float) -> list[str]:
-    """Terms of which every sentence has one that reaches the threshold with some template.
+def fewest_terms(rows: list[tuple[int, str, str, float]], threshold: float) -> list[tuple[list[str], int]]:
+    """Terms of each template, and how many of them a sentence needs to reach the threshold.
 
-    Without a template's heaviest terms the cosine is at most the length of what is left
-    of its vector; so many terms are taken that this stays below the threshold.
+    The cosine is at most the length of the part of the template's unit vector that the
+    sentence shares, so fewer terms than make up that length, heaviest first, never do.
     """
-    taken: set[str] = set()
-    for i in {r[0] for r in rows}:
-        left, own = 1.0, sorted((r for r in rows if r[0] == i), key=lambda r: (-r[3], r[2]))
-        for *_, term, weight in own:
-            if left < threshold**2:
-                break
-            taken.add(term)
-            left -= weight**2
-    return sorted(taken)
+    needs = []
+    for i in sorted({r[0] for r in rows}):
+        left, own = (threshold - 1e-6) ** 2, sorted((r for r in rows if r[0] == i), key=lambda r: (-r[3], r[2]))
+        n = 0
+        while left > 1e-12 and n < len(own):
+            left -= own[n][3] ** 2
+            n += 1
+        needs.append(([term for *_, term, _ in own], n))
+    return needs
+
+
+def _may_reach(sentence: Column, needs: list[tuple[list[str], int]]) -> Column:
+    """Whether a sentence has enough terms of some template; the terms it has are found once."""
+
+    def enough(found: Column) -> Column:
+        some = F.lit(False)
+        for terms, n in needs:
+            some = some | (F.size(F.array_intersect(found, F.lit(terms))) >= n)
+        return (F.size(found) >= min(n for _, n in needs)) & some
+
+    all_terms = sorted({term for terms, _ in needs for term in terms})
+    return F.exists(F.array(F.array_intersect(F.split(sentence, NO_TERM), F.lit(all_terms))), enough)
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -77,32 +92,23 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     weights = spark.createDataFrame(rows, "template int, licence string, term string, weight double")
     idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    found = markers(rows, threshold)
-    text = F.lower("text")
-    near = files.where("text is not null").where(_any(text, found)).select("path", "text")
-    sentences = near.select("path", F.posexplode(F.split("text", SENTENCE)).alias("at", "sentence"))
-    sentences = sentences.select("path", "at", F.lower("sentence").alias("sentence")).where(_any(F.col("sentence"), found))
-    terms = sentences.select("path", "at", F.explode(F.split("sentence", NO_TERM)).alias("term")).where("term != ''")
-    terms = terms.groupBy("path", "at", "term").agg(F.count(F.lit(1)).alias("n"))
+    sentences = files.where("text is not null").select("path", F.explode(F.split("text", SENTENCE)).alias("sentence"))
+    sentences = sentences.select("path", F.lower("sentence").alias("sentence"))
+    sentences = stored(sentences.where(_may_reach(F.col("sentence"), fewest_terms(rows, threshold))), "licence-sentences").distinct()
+    terms = sentences.select("path", "sentence", F.explode(F.split("sentence", NO_TERM)).alias("term")).where("term != ''")
+    terms = terms.groupBy("path", "sentence", "term").agg(F.count(F.lit(1)).alias("n"))
     terms = terms.join(F.broadcast(idfs), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    norms = terms.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(weights), "term").groupBy("path", "at", "template", "licence").agg(
+    norms = terms.groupBy("path", "sentence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(F.broadcast(weights), "term").groupBy("path", "sentence", "template", "licence").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot")
     )
-    scored = dots.join(norms, ["path", "at"]).select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    scored = dots.join(norms, ["path", "sentence"]).select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = scored.where(F.col("score") >= threshold).groupBy("path").agg(
         F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence"), F.max("score").alias("score")
     )
     return best
 
 
-def _any(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
-
-
 def licences(files: DataFrame, threshold: float = THRESHOLD, licence_file: str = r"(?i)^(licen[cs]e|copying)(\..*)?$", keep: tuple[str, ...] = ()) -> DataFrame:
     """The `keep` columns, path, licence, score, how and licence_dir of every file (path, text).
 
