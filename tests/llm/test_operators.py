@@ -182,6 +182,35 @@ def test_licences_own_and_inherited(session):
     assert got["a/d/e/q"] == ("GPL-3.0", "inherited") and got["c/z.py"] == (None, "none")
 
 
+def test_licence_scores_are_those_of_all_sentences(session):
+    """Sentences of random template terms and others: none that reaches the threshold is passed over."""
+    r = random.Random(5)
+    rows, idf, rare = licenses.template_weights()
+    vectors: dict[int, dict[str, float]] = {}
+    for i, _, term, weight in rows:
+        vectors.setdefault(i, {})[term] = weight
+    texts = []
+    for _ in range(300):
+        terms = list(vectors[r.randrange(len(vectors))])
+        words = r.sample(terms, r.randint(1, len(terms))) + r.choices(["of", "other", "word"], k=r.randint(0, 3))
+        r.shuffle(words)
+        texts.append(" ".join(words))
+
+    def best(text: str) -> float:
+        counts = {t: text.split().count(t) for t in set(text.split())}
+        weights = {t: n * idf.get(t, rare) for t, n in counts.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        return max(round(sum(w * v.get(t, 0) for t, w in weights.items()) / norm, 6) for v in vectors.values())
+
+    # Two texts to a path: the closer one counts, they are not read as one.
+    files = [(f"p{i // 2}", text) for i, text in enumerate(texts)]
+    got = {r.path: r.score for r in licenses.own_licences(session.createDataFrame(files, "path string, text string")).collect()}
+    scores = {f"p{i}": max(best(texts[2 * i]), best(texts[2 * i + 1])) for i in range(len(texts) // 2)}
+    want = {path: score for path, score in scores.items() if score >= licenses.THRESHOLD}
+    assert 20 < len(want) < 150 and set(got) == set(want)
+    assert all(abs(got[path] - want[path]) < 2e-6 for path in want)
+
+
 # --- 6 --------------------------------------------------------------------------------
 def test_wavelet_matrix():
     r = random.Random(6)
