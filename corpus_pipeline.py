@@ -46,13 +46,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their tokens, and whether these decode to the text."""
+    """The documents with the ids of their tokens, and whether these decode to the text; columns of these names are replaced."""
     prepare(spark)
-    coded = byte_bpe.decode(byte_bpe.encode(docs, "ids"), "decoded", "ids")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select(
-        *docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("decodes")
-    )
+    made = {"ids": F.col("ids"), "n_tokens": (F.octet_length("ids") / 4).cast("long"), "decodes": F.col("decoded") == text}
+    kept = [c for c in docs.columns if c not in (*made, "decoded")]
+    return byte_bpe.coded(docs.select(kept)).select(*kept, *(value.alias(name) for name, value in made.items()))
 
 
 STAGES = [

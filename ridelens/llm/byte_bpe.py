@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -81,14 +82,7 @@ class Encoder:
         return tokens
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per Python worker and vocabulary, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+# Encoders live as long as a task: idle Python workers would hold them while other code runs.
 
 
 def encode(docs: DataFrame, name: str = "ids", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -100,9 +94,10 @@ def encode(docs: DataFrame, name: str = "ids", text: str = "text", tokenizer: st
     path = tokenizer_path(tokenizer)
 
     @F.pandas_udf("binary")
-    def ids(column: pd.Series) -> pd.Series:
-        own = encoder(path)
-        return column.map(lambda t: own.encode(t or "").tobytes())
+    def ids(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Encoder(path)
+        for column in columns:
+            yield column.map(lambda t: own.encode(t).tobytes())
 
     return docs.withColumn(name, ids(F.coalesce(F.col(text), F.lit(""))))
 
@@ -112,26 +107,44 @@ def decode(docs: DataFrame, name: str = "decoded", ids: str = "ids", tokenizer:
     path = tokenizer_path(tokenizer)
 
     @F.pandas_udf("binary")
-    def decoded(column: pd.Series) -> pd.Series:
-        own = encoder(path)
-        return column.map(lambda data: own.decode(array("I", data or b"")))
+    def decoded(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bytes_of = {i: token for token, i in read_ranks(path).items()}
+        for column in columns:
+            yield column.map(lambda data: b"".join(map(bytes_of.__getitem__, array("I", data or b""))))
 
     return docs.withColumn(name, decoded(F.col(ids)))
 
 
+def coded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The columns of docs with ids and decoded, as from encode and decode, by one Python worker a task."""
+    path = tokenizer_path(tokenizer)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Encoder(path)
+        for column in columns:
+            ids = [own.encode(t) for t in column]
+            yield pd.DataFrame({"ids": [i.tobytes() for i in ids], "decoded": [own.decode(i) for i in ids]})
+
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    made = docs.select(*kept, both(F.coalesce("text", F.lit(""))).alias("_coded"))
+    return made.select(*kept, "_coded.ids", "_coded.decoded")
+
+
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, in one pass over the texts."""
     path = tokenizer_path(tokenizer)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(column: pd.Series) -> pd.DataFrame:
-        own = encoder(path)
+    def digests(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Encoder(path)
 
         def of(text: str) -> tuple:
-            ids = own.encode(text or "")
+            ids = own.encode(text)
             return len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
-        return pd.DataFrame([of(t) for t in column], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        for column in columns:
+            yield pd.DataFrame([of(t) for t in column], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = docs.select("doc_id", digests(F.coalesce("text", F.lit(""))).alias("made"))
     return made.select("doc_id", "made.*")
