@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from array import array
@@ -10,10 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ridelens.llm.bpe import byte_of_letter
 from ridelens.llm.shared import Memo, crc, shared_folder, stored, texts, tokenizer_path
 from ridelens.llm.wavelet import WaveletMatrix
 
@@ -28,8 +31,9 @@ class WordEncoder:
 
     White space ends every word of the tokenizer and composes with nothing, so what lies
     between is encoded by itself. That is done for texts of Latin letters and common
-    marks, where Python and the library agree on what white space is; other texts go to
-    the library whole, and so do those that hold a special string.
+    marks, where Python and the library agree on white space, lower case and letters; the
+    library's model then gets each part of a word. Other texts go to the library whole,
+    and so do those that hold a special string.
     """
 
     # ASCII, Latin letters that stand for themselves when composed, common marks.
@@ -37,6 +41,11 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.parts = regex.compile(json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.letters = {byte: letter for letter, byte in byte_of_letter().items()}
+        self.model = self.library.model
+        self.pieces = Memo(self._piece, 150_000)
         self.known = Memo(self._word, 300_000)
 
     def encode(self, text: str) -> bytes:
@@ -44,20 +53,14 @@ class WordEncoder:
         if "<|" in text or not self._PLAIN.fullmatch(text):
             ids = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         else:
-            ids = b"".join(map(self.known.__getitem__, text.split()))
+            ids = b"".join(map(self.known.__getitem__, text.lower().split()))
         return ids + array("I", [END]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        return self._piece(word) if word.isalpha() else b"".join(map(self.pieces.__getitem__, self.parts(word)))
 
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
 
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -65,8 +68,10 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     path = tokenizer_path(tokenizer)
 
     @F.pandas_udf("binary")
-    def ids(column: pd.Series) -> pd.Series:
-        return column.map(encoder(path).encode)
+    def ids(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = WordEncoder(path)
+        for column in columns:
+            yield column.map(own.encode)
 
     return texts(docs).select("doc_id", ids("text").alias("ids"))
 
