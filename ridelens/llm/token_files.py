@@ -41,8 +41,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            self.parts = regex.compile(json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        split = json.loads(self.library.pre_tokenizer.__getstate__())["pretokenizers"][0]
+        self.parts = regex.compile(split["pattern"]["Regex"]).findall
         self.letters = {byte: letter for letter, byte in byte_of_letter().items()}
         self.model = self.library.model
         self.pieces = Memo(self._piece, 150_000)
@@ -63,15 +63,23 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker and vocabulary, kept between tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id and ids (with the end id) of every row."""
     path = tokenizer_path(tokenizer)
 
     @F.pandas_udf("binary")
-    def ids(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = WordEncoder(path)
-        for column in columns:
-            yield column.map(own.encode)
+    def ids(column: pd.Series) -> pd.Series:
+        return column.map(encoder(path).encode)
 
     return texts(docs).select("doc_id", ids("text").alias("ids"))
 
