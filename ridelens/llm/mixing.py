@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -15,8 +19,9 @@ from ridelens.llm.shared import stored
 ROWS = 8_000  # labelled rows for the classifier, at most (chosen by a hash of their ids)
 DOMAINS = 64  # at most: the most frequent; others are not aimed at
 LETTERS = 64
-STEPS, TOLERANCE, STAY = 60, 1e-3, 0.02  # of the fit: most steps, error of shares, pull towards rate 1
-HIGHEST = 4.0  # rate
+STEPS, TOLERANCE, STAY = 60, 1e-4, 1e-4  # of the fit: most steps, distance to the optimum, pull towards rate 1
+HIGHEST = math.inf  # rate: none by default, as a cap keeps domains from their targets
+SMALLEST = 1e-6  # share of a domain: errors of smaller ones are relative to this
 TEMPERATURE = 0.7  # default targets are the expected shares to this power
 
 
@@ -99,18 +104,13 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return made.select("doc_id", "made.*")
 
 
-def rate_after(errors: list[list[float]], step: float, p: str = "p") -> Column:
-    """A document's rate after some steps from 1: each goes against its domains' errors and back towards 1,
-    and is put back into 0 to HIGHEST. It follows from the errors of all steps, so rates need no table."""
-    if not errors:
+def rate_of(lift: list[float], highest: float = HIGHEST, p: str = "p") -> Column:
+    """A document's rate: 1 and its domains' lifts, put back to 0 or more (and to `highest` or less)."""
+    if not lift:
         return F.lit(1.0)
-    history = F.array(*[F.array(*map(F.lit, e)) for e in errors])
-
-    def move(rate: Column, error: Column) -> Column:
-        slope = F.aggregate(F.zip_with(F.col(p), error, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.least(F.greatest(rate - step * (slope + STAY * (rate - 1)), F.lit(0.0)), F.lit(HIGHEST))
-
-    return F.aggregate(history, F.lit(1.0), move)
+    moved = F.aggregate(F.zip_with(F.col(p), F.array(*map(F.lit, lift)), lambda a, b: a * b), F.lit(1.0), lambda a, b: a + b)
+    rate = F.greatest(moved, F.lit(0.0))
+    return F.least(rate, F.lit(float(highest))) if math.isfinite(highest) else rate
 
 
 def expected(members: DataFrame, k: int, rate: Column) -> np.ndarray:
@@ -119,32 +119,82 @@ def expected(members: DataFrame, k: int, rate: Column) -> np.ndarray:
     return np.array(members.withColumn("rate", rate).agg(*sums).first(), float)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[Column, list[float]]:
-    """The rates as an expression of p, and the shares of tokens they are expected to give.
+def _sums(lift: np.ndarray, highest: float):
+    """Tokens by domain at a lift's rates, how they change with the lift, and the integral of the rates; summed over the task."""
+    k = len(lift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(k + k * k + 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            moved = 1.0 + p @ lift
+            rate = np.clip(moved, 0.0, highest)
+            free = p * (n * ((moved > 0) & (moved < highest)))[:, None]
+            sums[:k] += (n * rate) @ p
+            sums[k:-1] += (free.T @ p).ravel()
+            sums[-1] += n @ (rate * moved - rate * rate / 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["i", "x"])
+
+    return run
+
+
+def _measured(members: DataFrame, lift: np.ndarray, highest: float, total: float) -> tuple[np.ndarray, np.ndarray, float]:
+    k = len(lift)
+    found = members.select("n_tokens", "p").mapInArrow(_sums(lift, highest), "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    sums = np.zeros(k + k * k + 1)
+    for row in found.collect():
+        sums[row.i] = row.x
+    sums /= total
+    return sums[:k], sums[k:-1].reshape(k, k), float(sums[-1])
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, highest: float = HIGHEST) -> tuple[Column, list[float]]:
+    """The rates as an expression of p, and the shares of tokens they are expected to give, relative to all tokens there are.
 
     Minimises half the squared distance of expected domain totals to the targets, each
-    relative to the domain's own size, so that small domains count and the curvature is
-    at most 1. Projected gradient steps; each sums one row of totals over all documents.
+    relative to the domain's own size, so that small domains count, and STAY times half
+    that of the rates to 1, over rates of 0 or more. At the optimum a rate is the
+    projection of 1 + p . lift, with one lift for each domain, so that rates need no
+    table. Lifts are found by Newton steps on the dual, halved until it falls; each sums
+    totals over all documents. It ends where no domain's total is further from the
+    optimality condition than TOLERANCE of its size; a warning tells if STEPS ran out.
     """
     k = len(targets)
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
-    step, errors, shares = 1.0 / (1.0 + STAY), [], np.zeros(k)
-    for _ in range(STEPS if total else 0):
-        shares = expected(members, k, rate_after(errors, step)) / total
-        own = np.maximum(shares, 1e-9) if not errors else own
-        error = (shares - targets) / own
-        if np.abs(shares - targets).max() < TOLERANCE or errors and np.abs(np.array(errors[-1]) - error).max() < TOLERANCE:
+    if not total:
+        return rate_of([]), [0.0] * k
+    lift, tried, best, direction, size = np.zeros(k), np.zeros(k), None, np.zeros(k), 1.0
+    own = None
+    for _ in range(STEPS):
+        shares, curve, integral = _measured(members, tried, highest, total)
+        own = np.maximum(shares, SMALLEST) if own is None else own
+        dual = integral - targets @ tried + STAY / 2 * own @ tried**2
+        slope = shares - targets + STAY * own * tried
+        if best is not None and dual > best[0] + 1e-4 * size * (best[2] @ direction) + 1e-12:
+            size /= 2
+            tried = lift + size * direction
+            continue
+        lift, best, size = tried, (dual, shares, slope), 1.0
+        if (np.abs(slope) / own).max() < TOLERANCE:
             break
-        errors.append(error.tolist())
-    return rate_after(errors, step), shares.tolist()
+        direction = -np.linalg.solve(curve + np.diag(STAY * own), slope)
+        tried = lift + direction
+    else:
+        logging.getLogger(__name__).warning("mixing: %d steps ended before the optimum: slope %s of shares %s", STEPS, best[2].tolist(), own.tolist())
+    return rate_of(lift.tolist(), highest), best[1].tolist()
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, domains, p, rate and copies of every row.
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, highest: float = HIGHEST) -> DataFrame:
+    """doc_id, n_tokens, domains, targets, shares, p, rate and copies of every row.
 
     targets: weight of each domain, scaled to 1; by default the expected shares to the
     power TEMPERATURE, which lifts small domains. Rates are fitted so that tokens expected
-    in each domain have these shares of the whole.
+    in each domain have these shares of the whole, as nearly as rates of 0 or more can.
+    shares are those expected at the rates, beside the targets, in the order of domains.
+    `highest` caps the rates where it is given; domains may then miss their targets.
     copies is the rate rounded up with the chance of its fraction, by a hash of the id:
     copies in all are as many as rates say, and the same each time. A null text counts
     as empty: it has no tokens, and its rate follows from its domains. Repeated rows get
@@ -157,10 +207,17 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     else:
         wanted = np.array([targets.get(n, 0.0) for n in model.names])
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(wanted), 1 / len(wanted))
-    rate, _ = fit_rates(members, wanted)
-    names = F.array(*map(F.lit, model.names))
+    rate, shares = fit_rates(members, wanted, highest)
+    names, aims, given = (F.array(*map(F.lit, of)) for of in (model.names, wanted.tolist(), shares))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)
     rated = members.withColumn("rate", rate)
     return rated.select(
-        "doc_id", "n_tokens", names.alias("domains"), "p", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies")
+        "doc_id",
+        "n_tokens",
+        names.alias("domains"),
+        aims.alias("targets"),
+        given.alias("shares"),
+        "p",
+        "rate",
+        F.floor(F.col("rate") + chance).cast("int").alias("copies"),
     )

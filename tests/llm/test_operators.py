@@ -171,6 +171,32 @@ def test_rates_reach_targets(session):
     assert np.abs(np.array(shares) - targets).max() < 0.02 and min(rates) >= 0 and max(rates) <= mixing.HIGHEST
 
 
+@pytest.mark.parametrize(("common", "sure", "targets"), [(0.95, 1.0, [0.5, 0.5]), (0.95, 0.97, [0.5, 0.5]), (0.75, 0.75, [0.45, 0.55]), (0.999, 1.0, [0.9, 0.1])])
+def test_rates_reach_far_targets(session, common, sure, targets):
+    """Small domains that need many times their tokens, and blurred ones."""
+    r = random.Random(6)
+    p = [[q, 1 - q] for q in (sure if i < 2000 * common else 1 - sure for i in range(2000))]
+    members = session.createDataFrame([(i, r.randrange(20, 60), q) for i, q in enumerate(p)], "doc_id long, n_tokens long, p array<double>")
+    rate, shares = mixing.fit_rates(members, np.array(targets))
+    reached = mixing.expected(members, 2, rate) / members.agg(F.sum("n_tokens")).first()[0]
+    assert np.allclose(shares, reached) and np.abs(reached - targets).max() < 1e-3
+
+
+def test_impossible_targets_give_the_nearest_shares(session):
+    members = session.createDataFrame([(i, 10, [0.7, 0.3] if i % 2 else [0.4, 0.6]) for i in range(400)], "doc_id long, n_tokens long, p array<double>")
+    rate, shares = mixing.fit_rates(members, np.array([0.1, 0.9]))
+    rates = {tuple(x.p): x.rate for x in members.withColumn("rate", rate).collect()}
+    # Of the nearest shares, c x (0.4, 0.6) from the second kind only: relative to own sizes 0.55 and 0.45.
+    c = (0.1 * 0.4 / 0.55 + 0.9 * 0.6 / 0.45) / (0.4**2 / 0.55 + 0.6**2 / 0.45)
+    assert rates[0.7, 0.3] == 0 and np.allclose(shares, [0.4 * c, 0.6 * c], atol=1e-3)
+
+
+def test_mixture_tells_targets_and_shares(session):
+    docs = odd(session)
+    row = mixing.mixture(docs, docs.select("doc_id", F.lit(1).alias("quality"))).first()
+    assert len(row.targets) == len(row.shares) == len(row.domains) and np.allclose(row.targets, row.shares, atol=1e-3)
+
+
 # --- 5 --------------------------------------------------------------------------------
 def test_licences_own_and_inherited(session):
     files = [
