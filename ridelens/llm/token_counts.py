@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 import pandas as pd
 import public_tokenizers
 import regex
@@ -31,24 +34,37 @@ class Transducer:
         self.begins = {t[:n] for t in ranks.ids for n in range(1, len(t))}
         self._reset()
 
-    def _reset(self) -> None:
+    def _reset(self, key: tuple = (b"", (BEGIN,), (0,))) -> int:
+        """Forgets all states but the first and the given one, whose number is returned."""
         # A state: bytes of the window, last token at each place in it, tokens so far
         # at each place less those at its end.
         self.states = [(b"", (BEGIN,), (0,))]
         self.number = {self.states[0]: 0}
         self.moves: dict[int, int] = {}
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
 
     def count(self, data: bytes) -> int:
-        if len(self.states) > self.most:
-            self._reset()
-        moves, state, n = self.moves, 0, 0
+        return self.run(0, data)[1]
+
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after some bytes from a state, and by how much the count changes.
+
+        Numbers of states hold until the next call.
+        """
+        moves, n = self.moves, 0
         for byte in data:
             move = moves.get(state << 8 | byte)
             if move is None:
+                if len(self.states) > self.most:  # also within one long piece
+                    state = self._reset(self.states[state])
+                    moves = self.moves
                 move = self._compile(state, byte)
             n += (move & 0xFFFF) - 0x8000
             state = move >> 16
-        return n
+        return state, n
 
     def _compile(self, state: int, byte: int) -> int:
         window, last, counts = self.states[state]
@@ -79,7 +95,7 @@ class Counter:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, special: str = SPECIAL, chunk: int = CHUNK):
         self.machine = Transducer(Ranks(read_json_ranks(path)))
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).finditer
         self.special, self.chunk = special, chunk
         self.units = Memo(lambda unit: self._plain(" " + unit), UNITS_KEPT)
 
@@ -91,8 +107,7 @@ class Counter:
     def _part(self, text: str) -> int:
         if len(text) <= self.chunk:
             return self.tokens(text)
-        maps = [self.state_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-        head, inside, tail = self.scan(maps)[-1]
+        head, inside, tail = self.total(self.state_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk))
         return self.tokens(head) + (inside or 0) + self.tokens(tail)
 
     def tokens(self, text: str) -> int:
@@ -100,11 +115,21 @@ class Counter:
         return self._plain(first) + sum(map(self.units.__getitem__, rest))
 
     def _plain(self, text: str) -> int:
-        count = self.machine.count
-        return sum([count(piece.encode()) for piece in self.find(text)])
+        """Pieces are found one after another, and a long one is read by chunks from state to state."""
+        machine, n = self.machine, 0
+        for found in self.find(text):
+            first, last = found.span()
+            if last - first <= self.chunk:
+                n += machine.count(text[first:last].encode())
+                continue
+            state = 0
+            for i in range(first, last, self.chunk):
+                state, change = machine.run(state, text[i : min(i + self.chunk, last)].encode())
+                n += change
+        return n
 
     def state_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """The map from any state at the chunk's begin to its end.
+        """The map from any state at the chunk's begin to its end, by texts that wait for their neighbours.
 
         At a space after another character every state goes over to the same one. So a
         map is: what is read before the first such place and waits for the state at the
@@ -124,13 +149,16 @@ class Counter:
             return a[0], a[1], a[2] + b[0]
         return a[0], a[1] + self.tokens(a[2] + b[0]) + b[1], b[2]
 
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """All prefixes' maps; compose is associative, so steps of 1, 2, 4, ... are enough."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+    def total(self, maps: Iterable[tuple]) -> tuple:
+        """The map of all chunks. Neighbours of equal size are composed as they come, like the
+        carries of a binary counter, and only what they make is kept: as much text as all maps hold."""
+        kept: list[tuple[int, tuple]] = []
+        for made in maps:
+            size = 1
+            while kept and kept[-1][0] == size:
+                made, size = self.compose(kept.pop()[1], made), 2 * size
+            kept.append((size, made))
+        return reduce(lambda right, left: self.compose(left[1], right), reversed(kept[:-1]), kept[-1][1])
 
 
 _counters: dict[str, Counter] = {}

@@ -107,6 +107,36 @@ def test_state_maps_compose_in_any_grouping():
     assert counter.compose(counter.compose(a, b), c) == counter.compose(a, counter.compose(b, c))
 
 
+@pytest.mark.parametrize("unit", ["aB3/x+Qz", "漢字仮名", "ab\n", "a", "=", "don't's'sé"])
+def test_long_texts_without_a_space_hold_no_prefixes(unit):
+    """Such texts are one map; only what is composed is kept, and counts stay the library's."""
+    import tracemalloc
+
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    r, parts = random.Random(11), list(unit)
+    text = "".join(r.choice(parts) for _ in range(60_000))
+    counter = token_counts.Counter(path, chunk=100)
+    counter.machine.most = 300  # states are dropped within a piece as well
+    maps = [counter.state_map(text[i : i + 100]) for i in range(0, len(text), 100)]
+    tracemalloc.start()
+    head, inside, tail = counter.total(maps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+    library = Tokenizer.from_file(path)
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert counter.tokens(head) + (inside or 0) + counter.tokens(tail) == counter.count(text)
+
+
+def test_chunks_are_composed_without_prefixes(monkeypatch):
+    """All maps together are composed from no more text than a balanced tree has."""
+    counter = token_counts.Counter(public_tokenizers.path(token_counts.TOKENIZER), chunk=100)
+    made, compose = [], counter.compose
+    monkeypatch.setattr(counter, "compose", lambda a, b: made.append(compose(a, b)) or made[-1])
+    assert counter.count("xyz" * 10_000) == token_counts.Counter(public_tokenizers.path(token_counts.TOKENIZER)).count("xyz" * 10_000)
+    assert len(made) == 299 and sum(len(m[0]) for m in made) < 30_000 * 12
+
+
 def test_bpe_is_the_librarys_and_comes_back():
     path = public_tokenizers.path(byte_bpe.TOKENIZER)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
