@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ridelens.llm.shared import held_out, stored, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
-ROWS = 10_000  # texts to learn from, at most (chosen by a hash of their ids)
+ROWS = 10_000  # texts to learn from, about, dealt over the languages (chosen by a hash of their ids)
+LEAST = 50  # texts of a language, or all it has, even where languages are many
 ROUNDS = 2  # of expected counts
 LONGEST = 12  # letters of a piece
 WORDS_KEPT = 300_000
@@ -146,20 +147,36 @@ def _expect(languages: list[str], chances: np.ndarray, path: str):
     return run
 
 
+def quota(counts: list[int], rows: int) -> int:
+    """The most rows a language may have, so that all have about `rows` or less; at least LEAST."""
+    left, sizes = rows, sorted(counts)
+    for i, n in enumerate(sizes):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(share, LEAST)
+        left -= n
+    return max(sizes[-1], LEAST)
+
+
 def fit(docs: DataFrame, rows: int = ROWS, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> Model:
-    """Learns from texts with a language that are not held out; at most about `rows` of them.
+    """Learns every language of the texts with one that are not held out, from about `rows` of these.
 
-    Counts come to the driver once summed: at most as many as pieces times languages.
+    Languages and their priors come from all such texts; a language has a quota of the
+    rows, or all its texts where they are fewer. Counts come to the driver once summed: at
+    most as many as pieces times languages.
     """
     path = tokenizer_path(vocabulary)
     known = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", "text")
-    share = min(1.0, rows / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < int(share * 1_000_000))
-    known = stored(known.select("lang", "text"), "language-sample")
     prior = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     languages, pieces = [r.lang for r in prior], pieces_of(path)
     if not languages:
         return Model([], np.zeros(0), np.zeros((len(pieces), 0)))
+    limit = quota([r.n for r in prior], rows)
+    shares = [(r.lang, 1 << 40 if r.n <= limit else int(limit / r.n * (1 << 40))) for r in prior]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share long")
+    # By a hash of the id: of a language over its quota, about as many rows as that.
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 40)) < F.col("share")
+    known = stored(known.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text"), "language-sample")
     chances = np.repeat(first_guess(pieces)[:, None], len(languages), axis=1)
     for _ in range(rounds):
         found = known.mapInArrow(_expect(languages, chances, path), "k int, piece int, n double")

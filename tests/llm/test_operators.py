@@ -365,6 +365,25 @@ def test_languages_are_told(session):
     assert [(r.lang_pred, r.score) for r in no_letters] == [("und", 0.0)] * 4
 
 
+def test_languages_of_few_documents_are_learned(session):
+    words = {"en": WORDS, "xx": ["zorb", "quil", "vint", "plax"]}
+    r = random.Random(12)
+    texts = [(i, " ".join(r.choices(words[lang], k=30)), lang) for i in range(4000) for lang in ("xx" if i % 500 == 7 else "en",)]
+    docs = session.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, rows=200)
+    learned = docs.where(~language_id.held_out()).groupBy("lang").count().orderBy("lang").collect()
+    assert model.languages == ["en", "xx"] == [x.lang for x in learned]
+    n = np.array([x["count"] for x in learned])
+    assert np.allclose(model.log_prior, np.log(n / n.sum()))
+    path = language_id.tokenizer_path(language_id.VOCABULARY)
+    assert [x for x, _ in language_id.Scorer(model, path).score(["zorb vint plax quil", " ".join(WORDS)])] == ["xx", "en"]
+
+
+def test_quotas():
+    assert language_id.quota([5, 1000, 1000], 1005) == 500 and language_id.quota([5, 6], 100) == language_id.LEAST
+    assert language_id.quota([10**6] * 4, 10_000) == 2500 and language_id.quota([10**6] * 10**4, 10_000) == language_id.LEAST
+
+
 # --- 9 --------------------------------------------------------------------------------
 def test_fingerprints(session):
     r = random.Random(10)
