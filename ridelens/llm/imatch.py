@@ -6,21 +6,24 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ridelens.llm.shared import Memo, texts
+from ridelens.llm.shared import Memo, stored, texts, union_all
 from ridelens.llm.words import mix
 
-BUCKETS = 1 << 18  # document frequencies are kept by a hash of the term: the table's size is fixed
-LOWEST, HIGHEST = 1e-5, 0.02  # band of the share of documents that have a term
+LOWEST, HIGHEST = 3, 0.02  # band of terms: documents that have one at least, and share of documents at most
+KEPT = 1 << 20  # terms of the band that are sent to all machines, the most frequent; others are looked up by a join
+COUNTED = 1 << 20  # occurrences that are counted together before they leave a task
 # Each random lexicon holds a term with this chance: small lexicons for documents of many
 # terms, large ones for those of few.
 EACH = 6  # lexicons of a size
@@ -46,41 +49,63 @@ def terms(text: str) -> np.ndarray:
     return numbers
 
 
-def _bucket(numbers: np.ndarray) -> np.ndarray:
-    return (numbers >> np.uint64(64 - 18)).astype(np.int64)
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by term, added up over many texts."""
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    parts, size = [], 0
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            parts.append(terms(text))
+            size += len(parts[-1])
+            if size >= COUNTED:
+                yield counted(parts)
+                parts, size = [], 0
+    if parts:
+        yield counted(parts)
 
 
 class Lexicon(NamedTuple):
-    """The buckets of terms inside the band."""
+    """The terms of the band as a table; the most frequent of them, and those too frequent, as sorted numbers.
 
+    Where `whole`, no term of the band is only in the table.
+    """
+
+    table: DataFrame
     inside: np.ndarray
+    above: np.ndarray
+    whole: bool
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by bucket, added up over the whole task."""
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts[np.unique(_bucket(terms(text)))] += 1
-    used = np.flatnonzero(counts)
-    for i in range(0, len(used), 1 << 16):
-        part = used[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], ["bucket", "n"])
+def _sorted_terms(df: DataFrame) -> np.ndarray:
+    numbers = df.select("term").toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64)
+    return np.sort(numbers)
 
 
-def lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -> Lexicon:
-    """Document frequencies over all texts, and which buckets are in the band.
+def lexicon(docs: DataFrame, lowest: int = LOWEST, highest: float = HIGHEST) -> Lexicon:
+    """Document frequencies of all terms over all texts, and the band: `lowest` documents to the share `highest` of them.
 
-    Terms that share a bucket count together; there is a fixed number of buckets, so
-    what comes to the driver does not grow with the tables.
+    A term above the share is in so many documents that there are few: at most the mean
+    number of terms of a document over the share. At most KEPT come to the driver of either kind.
     """
-    total = docs.count()
-    counts = texts(docs).mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    share = F.col("n") / float(max(total, 1))
-    band = counts.where((share <= highest) & (share >= lowest)).select("bucket").collect()
-    inside = np.zeros(BUCKETS, bool)
-    inside[[r.bucket for r in band]] = True
-    return Lexicon(inside)
+    most = highest * docs.count()
+    counts = texts(docs).mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") >= lowest), "imatch-terms")
+    band, above = counts.where(F.col("n") <= most), counts.where(F.col("n") > most)
+    first = (F.desc("n"), "term")
+    whole = band.count() <= KEPT
+    inside = _sorted_terms(band if whole else band.orderBy(*first).limit(KEPT))
+    return Lexicon(band.select("term"), inside, np.zeros(0, np.uint64) if whole else _sorted_terms(above.orderBy(*first).limit(KEPT)), whole)
+
+
+def among(numbers: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(numbers), bool)
+    return known[np.minimum(np.searchsorted(known, numbers), len(known) - 1)] == numbers
 
 
 # --- fingerprints ---------------------------------------------------------------------
@@ -93,8 +118,11 @@ def fingerprint(numbers: np.ndarray, inside: np.ndarray) -> str:
 
     Where no term is in the band, all terms take their place.
     """
-    chosen = numbers[inside[_bucket(numbers)]]
-    chosen = chosen if len(chosen) else numbers
+    chosen = numbers[among(numbers, inside)]
+    return printed(chosen if len(chosen) else numbers)
+
+
+def printed(chosen: np.ndarray) -> str:
     member = mix(chosen[:, None] ^ _seeds) >> np.uint64(1) < _limits
     parts = []
     for i in range(len(SHARES)):
@@ -161,11 +189,17 @@ def _block(cuts: list[int]):
     return block("doc_id")
 
 
-def _print(inside: np.ndarray):
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 500)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types.values(), strict=True)], list(types))
 
+
+def _print(known: Broadcast):
     def pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
         """Each document with the next one; the last row of a block only follows others."""
         held = None
@@ -174,26 +208,100 @@ def _print(inside: np.ndarray):
                 yield held[1], held[2], text
             held = None if extra else (block, doc_id, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        known: tuple[str, str] | None = None
-        for doc_id, text, following in pairs(rows_of(batches)):
+    def told(rows: Iterator[tuple]) -> Iterator[tuple]:
+        inside = known.value[0]
+        last: tuple[str, str] | None = None
+        for doc_id, text, following in pairs(rows):
             changed = edited(text, following)
-            own = known[1] if known and known[0] == text else fingerprint(terms(text), inside)
+            own = last[1] if last and last[0] == text else fingerprint(terms(text), inside)
             other = fingerprint(terms(changed), inside)
-            known = (following, fingerprint(terms(following), inside))
-            digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc_id, len(text), digest, own, other, likeness(own, other), likeness(own, known[1])))
-            if len(out) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], NAMES)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], NAMES)
+            last = (following, fingerprint(terms(following), inside))
+            yield doc_id, len(text), _digest(changed), own, other, likeness(own, other), likeness(own, last[1])
+
+    return lambda batches: _batches(told(_rows(batches)), NAMES)
+
+
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+# --- where the lexicon does not fit one machine ----------------------------------------
+PLACED = {
+    "block": pa.int32(), "at": pa.int64(), "extra": pa.bool_(), "doc_id": pa.int64(), "n_chars": pa.int64(), "digest": pa.string(),
+    "own": pa.binary(), "own_inside": pa.bool_(), "other": pa.binary(), "other_inside": pa.bool_(),
+    "asked": pa.list_(pa.int64()), "asked_other": pa.list_(pa.int64()),
+}
+PLACED_SCHEMA = """block int, at long, extra boolean, doc_id long, n_chars long, digest string, own binary, own_inside boolean,
+other binary, other_inside boolean, asked array<long>, asked_other array<long>"""
+
+
+def _place(known: Broadcast):
+    """Each row by its place in its block, with terms of the band that are known (all terms where none is), and those to ask for."""
+
+    def split(text: str) -> tuple[bytes, bool, list[int]]:
+        inside, above = known.value
+        numbers = terms(text)
+        found = among(numbers, inside)
+        asked = numbers[~found & ~among(numbers, above)]
+        return (numbers[found] if found.any() else numbers).tobytes(), bool(found.any()), asked.view(np.int64).tolist()
+
+    def placed(rows: Iterator[tuple]) -> Iterator[tuple]:
+        at, held = 0, None
+        for block, extra, doc_id, text in rows:
+            if held is not None and held[0] == block:
+                yield made(*held, text)
+                at += 1
+            elif held is not None:
+                yield made(*held, None)
+            if held is None or held[0] != block:
+                at = 0
+            held = (block, at, extra, doc_id, text)
+        if held is not None:
+            yield made(*held, None)
+
+    def made(block: int, at: int, extra: bool, doc_id: int, text: str, following: str | None) -> tuple:
+        changed = edited(text, following or "")
+        own, inside, asked = split(text)
+        other, other_inside, asked_other = (b"", True, []) if extra else split(changed)
+        return block, at, extra, doc_id, len(text), _digest(changed), own, inside, other, other_inside, asked, asked_other
+
+    return lambda batches: _batches(placed(_rows(batches)), PLACED)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(data: bytes, inside: bool, asked: list[int] | None) -> str:
+        found = np.array(asked or [], np.int64).view(np.uint64)
+        known = np.frombuffer(data, np.uint64)
+        return printed(np.sort(np.concatenate([known, found])) if inside else np.sort(found) if len(found) else known)
+
+    def told(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held = None
+        for block, extra, doc_id, n_chars, digest, own, own_inside, other, other_inside, asked, asked_other in rows:
+            mine = whole(own, own_inside, asked)
+            if held is not None and held[0] == block:
+                yield *held[1], likeness(held[1][3], mine)
+            held = None
+            if not extra:
+                changed = whole(other, other_inside, asked_other)
+                held = (block, (doc_id, n_chars, digest, mine, changed, likeness(mine, changed)))
+
+    return _batches(told(_rows(batches)), NAMES)
+
 
-    return run
+def _joined(dealt: DataFrame, words: Lexicon, known: Broadcast) -> DataFrame:
+    """The same fingerprints, where terms that are not sent to all machines are joined to the lexicon's table."""
+    placed = stored(dealt.mapInArrow(_place(known), PLACED_SCHEMA), "imatch-placed")
+    asked = [placed.select("block", "at", F.lit(i).alias("other"), F.explode(c).alias("term")) for i, c in enumerate(("asked", "asked_other"))]
+    found = union_all(asked).join(words.table, "term").groupBy("block", "at")
+    found = found.agg(*(F.collect_list(F.when(F.col("other") == i, F.col("term"))).alias(c) for i, c in enumerate(("asked", "asked_other"))))
+    whole = placed.drop("asked", "asked_other").join(found, ["block", "at"], "left").repartition("block").sortWithinPartitions("block", "at")
+    return whole.select(*(c for c in PLACED if c != "at")).mapInArrow(_finish, RESULT)
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+NAMES = {
+    "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
+    "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),
+}
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -209,4 +317,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     words = lexicon(docs)
     rows = with_next(docs)
     dealt = rows.repartition("block").sortWithinPartitions("block", "extra", F.desc("doc_id"), "text")
-    return dealt.select("block", "extra", "doc_id", "text").mapInArrow(_print(words.inside), RESULT)
+    dealt = dealt.select("block", "extra", "doc_id", "text")
+    known = docs.sparkSession.sparkContext.broadcast((words.inside, words.above))
+    return dealt.mapInArrow(_print(known), RESULT) if words.whole else _joined(dealt, words, known)

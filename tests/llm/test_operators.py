@@ -399,3 +399,29 @@ def test_fingerprints(session):
     assert got[3].fingerprint == got[0].fingerprint
     near = [got[i] for i in order if len(texts[i]) > 100]
     assert np.mean([x.near_edited for x in near]) > 0.15 + np.mean([x.near_next for x in near])
+
+
+def _near_copies():
+    """Common words, pairs of near copies by middling words, and a term of its own in every document."""
+    r, texts = random.Random(13), {}
+    for i in range(600):
+        if i % 4 == 0:
+            base = r.choices([f"m{k}" for k in range(3000)], k=60)
+        texts[i] = " ".join([*WORDS, *base, f"own{i}x", f"id{i * 7919}"])
+    return texts
+
+
+def test_terms_of_few_documents_are_left_out(session):
+    docs = rows(session, *_near_copies().items())
+    got = {x.doc_id: x.fingerprint for x in imatch.fingerprints(docs).collect()}
+    assert all(got[i] == got[i - i % 4] for i in got) and len(set(got.values())) == 150
+    words = imatch.lexicon(docs)
+    assert not imatch.among(imatch.terms("own5x the"), words.inside).any() and words.whole
+
+
+@pytest.mark.parametrize("kept", [0, 700])
+def test_joined_lexicon_gives_the_same(session, monkeypatch, kept):
+    docs = rows(session, *_near_copies().items(), (9000, None), (9001, "only9 here9"), (3, "another text of the same id"))
+    want = sorted(imatch.fingerprints(docs).collect())
+    monkeypatch.setattr(imatch, "KEPT", kept)
+    assert not imatch.lexicon(docs).whole and sorted(imatch.fingerprints(docs).collect()) == want
