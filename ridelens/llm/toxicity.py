@@ -20,7 +20,7 @@ from ridelens.llm.shared import Memo, held_out, stored
 ROWS = 100_000  # labelled rows to learn from, at most (chosen by a hash of their ids)
 FEATURES = 65_536  # of a model, at most: the most significant
 PRIOR = 0.05  # weight of the Dirichlet prior, as a share of all counts
-SIGNIFICANT = 2.5  # standard deviations that a log-odds must be away from 0
+DISCOVERIES = 0.05  # share of chance features among those kept, at most as expected
 DRIFT = 0.5  # cost of a token that says nothing, so that chance segments stay short
 PREFIXES = (4, 5)  # letters of the beginnings that stand for words not met before; two more must follow
 THRESHOLD = 0.3
@@ -87,7 +87,8 @@ class Model(NamedTuple):
 def log_odds(rows: DataFrame) -> dict[int, float]:
     """Log-odds of features in toxic against clean rows, under a Dirichlet prior of the whole's shares.
 
-    Kept are those that are significantly away from 0, the most significant first.
+    Kept are those that are significant among all that were tested, the most significant
+    first. The level follows their number, see `level`.
     """
     counts = rows.mapInArrow(_count, "feature long, zero long, one long").groupBy("feature").agg(
         F.sum("zero").alias("zero"), F.sum("one").alias("one")
@@ -96,12 +97,44 @@ def log_odds(rows: DataFrame) -> dict[int, float]:
     n0, n1 = counts.agg(F.sum("zero"), F.sum("one")).first()
     if not n0 or not n1:
         return {}
+    met = rows.groupBy("label").agg(F.count(F.lit(1))).collect()
+    texts0, texts1 = (next((n for label, n in met if label == k), 0) for k in (0, 1))
+    tables = counts.groupBy("zero", "one").agg(F.count(F.lit(1))).collect()  # few: most features are rare
+    zero, one, times = np.array(tables, np.int64).T
+    p = chance_of(zero, one, texts0, texts1)
+    kept = p <= level(p, times)
+    passed = rows.sparkSession.createDataFrame([(int(a), int(b), float(x)) for a, b, x in zip(zero[kept], one[kept], p[kept], strict=True)], "zero long, one long, p double")
     prior, all_prior = PRIOR * (F.col("zero") + F.col("one")), PRIOR * (n0 + n1)
-    one, zero = F.col("one") + prior, F.col("zero") + prior
-    odds = F.log(one / (n1 + all_prior - one)) - F.log(zero / (n0 + all_prior - zero))
-    scored = counts.select("feature", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / one + 1 / zero)).alias("z"))
-    best = scored.where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    return {r.feature: r.odds for r in best.select("feature", "odds").collect()}
+    with_prior, without = F.col("one") + prior, F.col("zero") + prior
+    odds = F.log(with_prior / (n1 + all_prior - with_prior)) - F.log(without / (n0 + all_prior - without))
+    best = counts.join(F.broadcast(passed), ["zero", "one"]).orderBy("p", "feature").limit(FEATURES)
+    return {r.feature: r.odds for r in best.select("feature", odds.alias("odds")).collect()}
+
+
+def chance_of(zero: np.ndarray, one: np.ndarray, texts0: int, texts1: int) -> np.ndarray:
+    """Chance that so many texts, dealt at random, have as uneven a share of toxic ones: twice the
+    smaller tail of the hypergeometric law (Fisher's test)."""
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, texts0 + texts1 + 1)))])
+
+    def choose(n, k):
+        return logs[n] - logs[k] - logs[n - k]
+
+    out = np.ones(len(zero))
+    for i, (a, b) in enumerate(zip(zero.tolist(), one.tolist(), strict=True)):
+        n = a + b
+        k = np.arange(max(0, n - texts0), min(n, texts1) + 1)
+        law = np.exp(choose(texts1, k) + choose(texts0, n - k) - choose(texts0 + texts1, n))
+        out[i] = min(1.0, 2 * min(law[k >= b].sum(), law[k <= b].sum()))
+    return out
+
+
+def level(p: np.ndarray, times: np.ndarray, share: float = DISCOVERIES) -> float:
+    """The largest chance to keep, by Benjamini and Hochberg: among all features that were tested,
+    as many as chance would bring at this level are at most a `share` of those kept."""
+    order = np.argsort(p, kind="stable")
+    found = np.cumsum(times[order])
+    good = p[order] <= share * found / times.sum()
+    return float(p[order][good][-1]) if good.any() else 0.0
 
 
 # --- segments -------------------------------------------------------------------------

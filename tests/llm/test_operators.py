@@ -189,6 +189,24 @@ def test_toxic_texts_are_found(session):
     assert len(got) > 80 and all(g.predicted == int(g.doc_id % 5 == 0) and 0 <= g.score <= 1 for g in got)
 
 
+def test_chance_features_are_not_kept(session):
+    """Labels that say nothing: the level follows the number of features that are tested."""
+    r = random.Random(14)
+    texts = [(int(r.random() < 0.15), " ".join(f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(40))) for _ in range(1500)]
+    data = session.createDataFrame(texts, "label int, text string")
+    assert len(toxicity.log_odds(data)) <= 3
+    marked = [(label, text + (" vile rotten" if label else "")) for label, text in texts]
+    found = toxicity.log_odds(session.createDataFrame(marked, "label int, text string"))
+    assert {f for w in ("vile", "rotten") for f in toxicity.features(w)} <= set(found) and len(found) <= 8
+
+
+def test_chances_and_level_by_hand():
+    # 2 of 4 texts are toxic; a feature in both toxic ones only: 1 of 6 ways, two tails.
+    assert np.allclose(toxicity.chance_of(np.array([0, 1]), np.array([2, 1]), 2, 2), [1 / 3, 1.0])
+    p, times = np.array([0.001, 0.01, 0.04, 0.9]), np.array([1, 1, 1, 7])
+    assert toxicity.level(p, times, 0.05) == 0.01 and toxicity.level(p, times, 0.001) == 0.0
+
+
 # --- 4 --------------------------------------------------------------------------------
 def test_rates_reach_targets(session):
     r = random.Random(5)
