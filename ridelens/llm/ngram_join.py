@@ -183,7 +183,9 @@ def _links(key: tuple, members: list[tuple[int, int, np.ndarray]]) -> Iterator[t
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     for key, group in groupby(rows, itemgetter(0, 1, 2)):
-        members = [(side, node, np.frombuffer(data, np.uint64)) for *_, side, node, data in group]
+        # Repeated rows of a document are one member.
+        different = dict.fromkeys((side, node, data) for *_, side, node, data in group)
+        members = [(side, node, np.frombuffer(data, np.uint64)) for side, node, data in different]
         if found := list(_links(key, members)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "n"])
 

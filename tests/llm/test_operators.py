@@ -352,6 +352,13 @@ def test_large_groups_are_compared_in_blocks(session, monkeypatch):
     assert all(g.class_id == 99 and g.n_links == 99 for g in got)
 
 
+def test_repeated_rows_are_linked_once(session):
+    base = [f"w{i}" for i in range(100)]
+    texts = [(5, " ".join(base)), (5, " ".join(base)), (3, " ".join([*base, "more"]))]
+    got = ngram_join.near_duplicates(rows(session, *texts)).collect()
+    assert len(got) == 3 and all((g.class_id, g.n_links) == (5, 1) for g in got)
+
+
 def test_components(session):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(components(session.createDataFrame(edges, "a long, b long")).collect())
