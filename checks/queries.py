@@ -393,9 +393,8 @@ _simple(
 
 
 def _era_bubbles(t: Tables) -> DataFrame:
-    rides, year = t.named, F.year("started_at")
-    coordinates = stations.named_coordinates(rides)
-    return journeys.era_bubbles(rides.where(year < 1998), rides.where(year >= 1998), coordinates, smallest=80)
+    era = F.when(F.year("started_at") < 1998, "before").otherwise("after")
+    return journeys.bubbles_by_era(t.named, era, smallest=80)
 
 
 _simple(

@@ -12,7 +12,7 @@ from ridelens.schemas import UNKNOWN
 
 # --- ids, categories -----------------------------------------------------------------
 def station_key(c: Column, source_type: str = "string", strict: bool = True) -> Column:
-    """A station id read as 31000, 31000.0, "31000" or "31000.0", as BIGINT.
+    """A whole-numbered station id as BIGINT, whether it comes as a number or as text, with or without decimals.
 
     Floats go through BIGINT because their text form turns to E-notation at 1e7.
     A bad id raises, or becomes null with ``strict=False``.

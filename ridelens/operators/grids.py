@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def dense_week(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row per key, weekday (1..7) and hour (0..23); absent or null cells are 0.
 
-    ``df`` has at most one row per key, weekday and hour.
+    ``df`` has at most one row per key, weekday and hour. A key's cells, 168 at most,
+    become a map in which every hour of the week is looked up: nothing is joined.
     """
-    cells = (
-        df.select(key)
-        .distinct()
-        .select(key, F.explode(F.sequence(F.lit(1), F.lit(7))).alias("weekday"))
-        .select(key, "weekday", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    )
-    return cells.join(df, [key, "weekday", "hour"], "left").select(
-        key, "weekday", "hour", F.coalesce(F.col(value), F.lit(0.0)).alias(value)
+    slot = 24 * (F.col("weekday") - 1) + F.col("hour")
+    cells = F.map_from_entries(F.collect_list(F.when(slot.isNotNull(), F.struct(slot.cast("int").alias("slot"), F.col(value).alias("value")))))
+    hours = df.groupBy(key).agg(cells.alias("_cells")).select(key, "_cells", F.explode(F.sequence(F.lit(0), F.lit(167))).alias("_slot"))
+    return hours.select(
+        key,
+        (F.floor(F.col("_slot") / 24) + 1).cast("int").alias("weekday"),
+        (F.col("_slot") % 24).alias("hour"),
+        F.coalesce(F.try_element_at("_cells", F.col("_slot")), F.lit(0.0)).alias(value),
     )

@@ -6,33 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank_floor(df: DataFrame, group: list[str], value: str, n: int, name: str = "floor") -> DataFrame:
-    """Per group, the smallest ``value`` whose descending average rank is within ``n``.
+def twice_average_rank(group: list[str], value: str) -> Column:
+    """Twice the descending average rank of a row in its group, which is a whole number.
 
-    Tied rows share the mean of the positions they cover, so a tie across ``n`` is
-    kept or dropped as a whole.  A rank depends only on how often each value occurs;
-    the window therefore runs over one row per distinct value, not over the rows.
-    Groups in which nothing ranks within ``n`` have no row.
+    Tied rows share the mean of the positions they cover, the first of which is the
+    rank and the last the number of rows with no smaller value.
     """
-    ties = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-    down = (
-        Window.partitionBy(*group)
-        .orderBy(F.col(value).desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    last_position = F.sum("_ties").over(down)
-    return (
-        ties.withColumn("_twice_rank", 2 * last_position - F.col("_ties") + 1)
-        .where(F.col("_twice_rank") <= 2 * n)
-        .groupBy(*group)
-        .agg(F.min(value).alias(name))
-    )
+    down = Window.partitionBy(*group).orderBy(F.col(value).desc())
+    last_position = F.count(F.lit(1)).over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.rank().over(down) + last_position
 
 
 def within_average_rank(df: DataFrame, group: list[str], value: str, n: int) -> DataFrame:
-    """Rows whose descending average rank in their group is at most ``n``."""
-    floor = average_rank_floor(df, group, value, n, "_floor")
-    return df.join(floor, group).where(F.col(value) >= F.col("_floor")).drop("_floor")
+    """Rows whose descending average rank in their group is at most ``n``.
+
+    A tie across ``n`` is kept or dropped as a whole. The average rank is never less than
+    the rank, so rows beyond rank ``n`` go first, which Spark does before the shuffle
+    (WindowGroupLimit); rows that tie all stay, so the others' average ranks are the same.
+    """
+    down = Window.partitionBy(*group).orderBy(F.col(value).desc())
+    first = df.withColumn("_rank", F.rank().over(down)).where(F.col("_rank") <= n)
+    return first.withColumn("_twice", twice_average_rank(group, value)).where(F.col("_twice") <= 2 * n).drop("_rank", "_twice")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, position: str = "position") -> DataFrame:

@@ -24,13 +24,43 @@ def _net_flow(one_sided_null: bool) -> Column:
     return F.when(both, net) if one_sided_null else net
 
 
+def bike_cube(trips: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rides by station, day, category, side and bike: all of them, those with a positive duration, and their seconds.
+
+    Returns are dated by their start and have no bike. Both daily tables come from it.
+    """
+    own = {"date": F.to_date("started_at"), "member_type": fn.known("member_type"), "rideable_type": fn.known("rideable_type")}
+    own |= {"positive": F.coalesce(F.col("duration_sec") > 0, F.lit(False)), "secs": F.col("duration_sec")} | {c: F.col(c) for c in by}
+    seen = by_role(
+        trips,
+        start={"station_id": F.col("start_station_id"), **own, "bike": F.col("bike_number")},
+        end={"station_id": F.col("end_station_id"), **own, "bike": F.lit(None).cast("string")},
+    )
+    return seen.groupBy("station_id", "date", "member_type", "rideable_type", "at_start", "bike", *by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("n_timed"), F.sum(F.when(F.col("positive"), F.col("secs"))).alias("secs")
+    )
+
+
+def _of_cube(cube: DataFrame, kinds: tuple[str, ...], timed_returns: bool) -> DataFrame:
+    """A bike cube merged to station, day, ``kinds``, side and bike."""
+    counted = F.col("n_timed") if timed_returns else F.when(F.col("at_start"), F.col("n_timed")).otherwise(F.col("n"))
+    seconds = F.col("secs") if timed_returns else F.when(F.col("at_start"), F.col("secs"))
+    return cube.where(counted > 0).groupBy("station_id", "date", *kinds, "at_start", "bike").agg(
+        F.sum(counted).alias("n"), F.sum(seconds).alias("secs")
+    )
+
+
 def _station_days(trips: DataFrame, kinds: tuple[str, ...], returns_on: str, timed_returns: bool) -> DataFrame:
-    """Flows per station and day.
+    """Flows per station and day, of rides or of a bike cube.
 
     Rides are first grouped down to (station, day, side, bike), which makes the number
     of distinct bikes a count of rows, null being one of them.  Both steps combine
     before they shuffle, and the first spreads a hot station over its bikes.
     """
+    if "started_at" not in trips.columns:
+        if returns_on != "started_at":
+            raise ValueError("A bike cube has its returns dated by their start")
+        return _both_sides(_of_cube(trips, kinds, timed_returns), ("station_id", "date", *kinds))
     if returns_on not in ("started_at", "ended_at"):
         raise ValueError(f"returns_on must be started_at or ended_at, not {returns_on}")
     if timed_returns:
@@ -58,7 +88,10 @@ def _station_days(trips: DataFrame, kinds: tuple[str, ...], returns_on: str, tim
         seen = seen.where(~F.col("at_start") | (F.col("secs") > 0))
     keys = ("station_id", "date", *kinds)
     per_bike = seen.groupBy(*keys, "at_start", "bike").agg(F.count(F.lit(1)).alias("n"), F.sum("secs").alias("secs"))
+    return _both_sides(per_bike, keys)
+
 
+def _both_sides(per_bike: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     out, back = F.col("at_start"), ~F.col("at_start")
 
     def total(side: Column, value: str) -> Column:
@@ -128,24 +161,34 @@ def station_daily_detailed(
     )
 
 
-def station_hourly(trips: DataFrame, stations: DataFrame, *, one_sided_null: bool = False) -> DataFrame:
-    """Checkouts by start hour and returns by end hour per station, all durations."""
+def station_hour_cube(trips: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rides by station, day, hour and side: checkouts by their start, returns by their end."""
     seen = by_role(
         trips,
-        start={
-            "station_id": F.col("start_station_id"),
-            "date": F.to_date("started_at"),
-            "hour": F.hour("started_at"),
-        },
-        end={
-            "station_id": F.col("end_station_id"),
-            "date": F.to_date("ended_at"),
-            "hour": F.hour("ended_at"),
+        **{
+            end: {
+                "station_id": F.col(f"{end}_station_id"),
+                "date": F.to_date(time),
+                "hour": F.hour(time),
+                **{c: F.col(c) for c in by},
+            }
+            for end, time in (("start", "started_at"), ("end", "ended_at"))
         },
     )
+    return seen.groupBy("station_id", "date", "hour", "at_start", *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def station_hourly(trips_or_cube: DataFrame, stations: DataFrame, *, one_sided_null: bool = False) -> DataFrame:
+    """Checkouts by start hour and returns by end hour per station, all durations."""
+    df = trips_or_cube
+    cube = station_hour_cube(df) if "started_at" in df.columns else df
     keys = ("station_id", "date", "hour")
-    flows = seen.groupBy(*keys, _lone_side(*keys)).agg(
-        F.count_if("at_start").alias("num_checkouts"), F.count_if(~F.col("at_start")).alias("num_returns")
+
+    def total(side: Column) -> Column:
+        return F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0))
+
+    flows = cube.groupBy(*keys, _lone_side(*keys)).agg(
+        total(F.col("at_start")).alias("num_checkouts"), total(~F.col("at_start")).alias("num_returns")
     )
     return attach(flows.drop("_lone_side"), stations, "station_id", **_PLACE).select(
         "date",

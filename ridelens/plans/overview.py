@@ -193,15 +193,14 @@ def time_table(summary: DataFrame) -> DataFrame:
 
 def time_insights(summary: DataFrame) -> DataFrame:
     """Values with most checkouts and most returns, ties kept, beside the overall figures."""
+    kinds = ("checkouts", "returns")
     overall = summary.agg(
-        F.struct(F.avg("avg_duration_min").alias("avg_duration_min"), F.sum("total_trips").alias("total_trips"))
+        F.struct(
+            F.avg("avg_duration_min").alias("avg_duration_min"),
+            F.sum("total_trips").alias("total_trips"),
+            *[F.max(kind).alias(kind) for kind in kinds],
+        )
     ).scalar()
-
-    def highest(kind: str) -> DataFrame:
-        return at_maximum(summary, kind).select(F.lit(kind).alias("kind"), "agg_value", F.col(kind).alias("trips"))
-
-    return (
-        highest("checkouts")
-        .unionByName(highest("returns"))
-        .select("*", overall["avg_duration_min"].alias("avg_duration_min"), overall["total_trips"].alias("total_trips"))
-    )
+    entries = [F.when(F.col(kind) == overall[kind], F.struct(F.lit(kind).alias("kind"), "agg_value", F.col(kind).alias("trips"))) for kind in kinds]
+    highest = summary.select(F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+    return highest.select("entry.*", overall["avg_duration_min"].alias("avg_duration_min"), overall["total_trips"].alias("total_trips"))

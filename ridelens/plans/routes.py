@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ridelens.functions import columns as fn
 from ridelens.operators.lookup import attach
 from ridelens.operators.measures import mean_duration, mean_of, roll
-from ridelens.operators.ranking import average_rank_floor, top, top_per_group, within_average_rank
+from ridelens.operators.ranking import top, top_per_group, twice_average_rank, within_average_rank
 from ridelens.plans.filters import of_kinds
 from ridelens.schemas import USUAL_MEMBERS, USUAL_RIDEABLES
 
@@ -16,12 +16,12 @@ _KINDS = ("member_type", "rideable_type")
 _ENDS = ("start_station_id", "end_station_id")
 
 
-def edge_cube(trips: DataFrame) -> DataFrame:
+def edge_cube(trips: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Measures by both ends, category and whether the duration is positive."""
-    return roll(_edges(trips), *_ENDS, *_KINDS, "positive")
+    return roll(_edges(trips, by), *_ENDS, *_KINDS, "positive", *by)
 
 
-def _edges(trips_or_cube: DataFrame) -> DataFrame:
+def _edges(trips_or_cube: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rides, or an edge cube, without round trips and unknown ends."""
     df = trips_or_cube
     if "positive" not in df.columns:
@@ -31,6 +31,7 @@ def _edges(trips_or_cube: DataFrame) -> DataFrame:
             fn.known("rideable_type").alias("rideable_type"),
             F.coalesce(F.col("duration_sec") > 0, F.lit(False)).alias("positive"),
             "duration_sec",
+            *by,
         )
     return df.where("start_station_id != end_station_id")
 
@@ -38,21 +39,12 @@ def _edges(trips_or_cube: DataFrame) -> DataFrame:
 def station_routes(trips: DataFrame, stations: DataFrame, top_n: int = 20, min_trips: int = 10) -> DataFrame:
     """Routes among the top ``top_n`` leaving their start or reaching their end.
 
-    Membership of either list is one comparison with the count needed to be in it, so
-    nothing is stacked and deduplicated.
+    A station has at most as many routes as there are stations, so both ranks are
+    windows over the counted routes, which are made once.
     """
     edges = roll(_edges(trips), *_ENDS).where(F.col("n") >= min_trips)
-    leaving = average_rank_floor(edges, ["start_station_id"], "n", top_n, "_leaving")
-    reaching = average_rank_floor(edges, ["end_station_id"], "n", top_n, "_reaching")
-
-    def listed(floor: str) -> Column:
-        return F.coalesce(F.col("n") >= F.col(floor), F.lit(False))
-
-    kept = (
-        edges.join(leaving, "start_station_id", "left")
-        .join(reaching, "end_station_id", "left")
-        .where(listed("_leaving") | listed("_reaching"))
-    )
+    ranks = [twice_average_rank([end], "n") for end in _ENDS]
+    kept = edges.withColumns({f"_twice_{i}": r for i, r in enumerate(ranks)}).where(F.least("_twice_0", "_twice_1") <= 2 * top_n)
     return _with_ends(kept, stations).select(
         "start_station_id",
         "start_station_name",
@@ -198,7 +190,7 @@ def _placed(end: str) -> Column:
 def system_route_map(routes: DataFrame, top_n: int = 20) -> DataFrame:
     """Lines of the system's top routes: colour position 0 to 1 and weight 2 to 6."""
     lines = _shown_lines(routes, top_n)
-    low, high = (lines.agg(f("trip_count")).scalar() for f in (F.min, F.max))
+    extent = lines.agg(F.struct(F.min("trip_count").alias("low"), F.max("trip_count").alias("high"))).scalar()
     trips = F.col("trip_count")
     return lines.where(_placed("start") & _placed("end")).select(
         "position",
@@ -209,8 +201,8 @@ def system_route_map(routes: DataFrame, top_n: int = 20) -> DataFrame:
         "end_lat",
         "end_lng",
         "trip_count",
-        fn.rescale(trips, low, high, 0, 1).alias("color_position"),
-        fn.rescale(trips, low, high, 2, 6).alias("weight"),
+        fn.rescale(trips, extent["low"], extent["high"], 0, 1).alias("color_position"),
+        fn.rescale(trips, extent["low"], extent["high"], 2, 6).alias("weight"),
     )
 
 

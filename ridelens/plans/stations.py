@@ -14,8 +14,8 @@ from ridelens.schemas import PLACE_COLUMNS, STATIONS, require_types
 ACTIVE_DAYS = 30
 
 
-def station_dimension(trips: DataFrame) -> DataFrame:
-    """One row per station id: latest name, mean coordinates, first and last ride.
+def station_sightings(trips: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sightings by station id and name, as sums that can be merged.
 
     A ride is a sighting of both its stations, dated by its start.
     """
@@ -28,25 +28,44 @@ def station_dimension(trips: DataFrame) -> DataFrame:
             "lat": F.col(f"{end}_lat").cast("double"),
             "lng": F.col(f"{end}_lng").cast("double"),
             "seen_at": F.col("started_at").cast("timestamp_ntz"),
+            **{c: F.col(c) for c in by},
         }
 
-    named = (
+    sums = [f(c).alias(f"{c}_{name}") for c in ("lat", "lng") for name, f in (("sum", F.sum), ("n", F.count))]
+    return (
         by_role(trips, seen("start"), seen("end"))
         .where("station_id is not null")
-        .groupBy("station_id", "station_name")
+        .groupBy("station_id", "station_name", *by)
         .agg(
-            F.avg("lat").alias("lat"),
-            F.avg("lng").alias("lng"),
+            F.count(F.lit(1)).alias("n"),
+            *sums,
             F.min("seen_at").alias("earliest_seen"),
             F.max("seen_at").alias("latest_seen"),
         )
     )
+
+
+def station_dimension(trips_or_sightings: DataFrame) -> DataFrame:
+    """One row per station id: latest name, mean coordinates, first and last ride."""
+    df = trips_or_sightings
+    sightings = df if "lat_sum" in df.columns else station_sightings(df)
+    named = sightings.groupBy("station_id", "station_name").agg(
+        *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(c) for c in ("lat", "lng")],
+        F.min("earliest_seen").alias("earliest_seen"),
+        F.max("latest_seen").alias("latest_seen"),
+    )
     latest = [F.desc_nulls_last("latest_seen"), F.asc_nulls_first("station_name")]
     dimension = top_per_group(named, ["station_id"], latest, 1, "_place").select(*STATIONS.names)
     require_types(dimension, STATIONS)
     return dimension
 
 
+def merge_dimension(known: DataFrame, derived: DataFrame) -> DataFrame:
+    """A newly derived dimension with what else is known of its stations, such as their places."""
+    others = {c: c for c in known.columns if c not in derived.columns}
+    return attach(derived, known, "station_id", **others) if others else derived
+
+
 def named_coordinates(trips: DataFrame) -> DataFrame:
     """Mean start coordinates and first and last start per (id, name); nulls left out."""
     return (

@@ -11,7 +11,7 @@ from ridelens.operators.measures import mean_duration, roll
 _KINDS = ("member_type", "rideable_type")
 
 
-def timed_trips(trips: DataFrame) -> DataFrame:
+def timed_trips(trips: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rides with a positive duration, as the keys and measure the summaries need."""
     day = F.to_date("started_at")
     seconds = F.col("duration_sec")
@@ -22,16 +22,17 @@ def timed_trips(trips: DataFrame) -> DataFrame:
         fn.known("rideable_type").alias("rideable_type"),
         F.when(seconds < fn.DAY_SECONDS, fn.duration_bucket(seconds)).alias("bucket_start_min"),
         "duration_sec",
+        *by,
     )
 
 
-def hour_cube(trips: DataFrame) -> DataFrame:
+def hour_cube(trips: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Measures by date, hour, category and duration bucket.
 
     At most 24 x 25 cells per day and category pair, so its size grows with the
     calendar and not with the rides; every summary below accepts it in place of them.
     """
-    return roll(timed_trips(trips), "date", "hour", *_KINDS, "bucket_start_min")
+    return roll(timed_trips(trips, by), "date", "hour", *_KINDS, "bucket_start_min", *by)
 
 
 def _source(trips_or_cube: DataFrame) -> DataFrame:

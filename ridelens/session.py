@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Rides carry wall-clock times without a zone, so the session zone only has to be
@@ -25,3 +28,19 @@ def build_session(app_name: str = "ridelens", master: str | None = None, **conf)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that only this run needs, where all machines can see it.
+
+    It lies in the shared folder that the session names. Only a session that runs on one
+    machine may do without one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="scratch-")
+        spark.sparkContext.setCheckpointDir(shared)
+        shared = spark.sparkContext.getCheckpointDir()
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

@@ -35,15 +35,16 @@ def write_table(df: DataFrame, path: str, layout: list[str] | None = None, clust
     df.write.mode("overwrite").parquet(path)
 
 
-def write_trips(df: DataFrame, root: str, compact: bool = False) -> None:
+def write_trips(df: DataFrame, root: str, compact: bool = True) -> None:
     """Replace the (year, month) partitions present in ``df``; others stay as they are.
 
-    A monthly raw file already lies in one partition, so rows are written where they
-    were read.  ``compact`` evens out file sizes by a rebalancing shuffle, which
-    splits a month that is larger than one task should write.
+    By default a rebalancing shuffle evens out file sizes (it joins the small parts of a
+    month and splits one larger than a task should write), and files are ordered by
+    start, so that row groups hold ranges of it. Without ``compact`` rows are written
+    where they were read.
     """
     if compact:
-        df = df.hint("rebalance", "year", "month")
+        df = df.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "started_at")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(root)
 
 
@@ -51,6 +52,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def export(df: DataFrame, folder: str, kind: str, *parts) -> str:
+    """Writes a result as CSV under its export name; returns the path, a folder of parts with one header each."""
+    path = f"{folder.rstrip('/')}/{export_name(kind, *parts)}"
+    write_csv(df, path)
+    return path
+
+
 def export_name(kind: str, *parts) -> str:
     """File name of an export: stations by date range, calendar levels by level."""
     return "_".join([kind, *map(str, parts)]) + ".csv"

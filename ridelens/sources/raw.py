@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +34,23 @@ def with_file_kind(files: DataFrame, name: str = "file_name") -> DataFrame:
     return files.select("*", *[c.alias(n) for n, c in file_kind(F.col(name)).items()])
 
 
+def unit(path: Column) -> Column:
+    """What counts as one raw file: the file, or the folder of a table that Spark wrote in parts."""
+    return F.regexp_replace(path, r"/part-[^/]*$", "")
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a path; of a partition folder (``raw=202401.csv``) its value."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "^[^=]*=", "")
+
+
+def read_path() -> Column:
+    """The path a row was read from, spelled as listings spell it and not as a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw files under a folder with their kind; contents are not read."""
+    """Raw files under a folder with their kind, length and time; contents are not read."""
     try:
         files = (
             spark.read.format("binaryFile")
@@ -43,9 +61,11 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = spark.createDataFrame([], "path string")
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
-    return with_file_kind(named.where(~F.col("path").contains("__MACOSX")))
+        files = spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    own = files.where(~F.col("path").contains("__MACOSX")).groupBy(unit(F.col("path")).alias("path")).agg(
+        F.sum("length").alias("length"), F.max("modificationTime").alias("modified")
+    )
+    return with_file_kind(own.withColumn("file_name", file_name(F.col("path"))))
 
 
 def in_range(files: DataFrame, first: str | None = None, last: str | None = None, without: tuple[str, ...] = ()) -> DataFrame:
@@ -67,33 +87,64 @@ class Batch:
     paths: tuple[str, ...]
 
 
-def batches(spark: SparkSession, paths: list[str]) -> list[Batch]:
-    """Group files by format and header.
+def csv_schemas(spark: SparkSession, paths: list[str]) -> dict[str, T.StructType]:
+    """The header of each CSV file as text columns, from one job; an empty file has no columns.
 
-    Looks at one line or footer per file, a few files at a time.  CSV columns are all
-    read as text: a type inferred from one month would not hold for the next.
+    Every file's block is a partition by itself, and its task stops after the first lines
+    that it gets, so little more than a header is read of a file of any size.
     """
+    if not paths:
+        return {}
+    alone = spark.newSession()  # only here are small files not read together
+    for conf in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"):
+        alone.conf.set(conf, str(128 << 20))
+
+    def first(lines: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lines:
+            if batch.num_rows and batch.column("at")[0].as_py() == 0:
+                yield batch.slice(0, 1).select(["path", "line"])
+            return
+
+    lines = alone.read.text(paths).select(unit(read_path()).alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
+    headers = {r.path: r.line for r in lines.mapInArrow(first, "path string, line string").collect()}
+    # Paths may be given without the scheme and host that they are read under.
+    by_end = {path: next((line for found, line in headers.items() if found.endswith(path)), None) for path in paths if path not in headers}
+    found = by_end | headers
+    return {path: T.StructType() if found[path] is None else _header(found[path]) for path in paths}
+
+
+def _header(line: str) -> T.StructType:
+    """Column names as the reader makes them: empty ones by place, repeated ones with their place."""
+    names = next(csv.reader([line]), [])
+    folded = [n.lower() for n in names]
+    own = [f"_c{i}" if not n else f"{n}{i}" if folded.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+    return T.StructType([T.StructField(n, T.StringType()) for n in own])
+
 
-    def look(path: str) -> tuple[str, T.StructType]:
-        if path.endswith(".parquet"):
-            return "parquet", spark.read.parquet(path).schema
-        return "csv", spark.read.option("header", "true").csv(path).schema
+def batches(spark: SparkSession, paths: list[str]) -> list[Batch]:
+    """Group files by format and header.
 
+    CSV headers are read in one job, Parquet footers a few at a time.  CSV columns are
+    all read as text: a type inferred from one month would not hold for the next.
+    """
     paths = sorted(paths)
-    groups: dict[tuple[str, str], tuple[T.StructType, list[str]]] = {}
+    typed = [p for p in paths if p.endswith(".parquet")]
+    schemas = csv_schemas(spark, [p for p in paths if p not in typed])
     with ThreadPoolExecutor(8) as pool:
-        for path, (kind, schema) in zip(paths, pool.map(look, paths)):
-            groups.setdefault((kind, schema.json()), (schema, []))[1].append(path)
-    return [Batch(kind, schema, tuple(found)) for (kind, _), (schema, found) in groups.items()]
+        schemas |= zip(typed, pool.map(lambda p: spark.read.parquet(p).schema, typed), strict=True)
+    groups: dict[tuple[str, str], list[str]] = {}
+    for path in paths:
+        groups.setdefault(("parquet" if path in typed else "csv", schemas[path].json()), []).append(path)
+    return [Batch(kind, schemas[found[0]], tuple(found)) for (kind, _), found in groups.items() if schemas[found[0]].fields]
 
 
 def read_batch(spark: SparkSession, batch: Batch) -> DataFrame:
-    """All rows of a batch with ``_file``, the name of the file each came from."""
+    """All rows of a batch with ``_file``, the path of the file each came from."""
     reader = spark.read.schema(batch.schema)
     if batch.format == "csv":
         reader = reader.option("header", "true").option("mode", "PERMISSIVE").option("escape", '"')
     df = getattr(reader, batch.format)(*([list(batch.paths)] if batch.format == "csv" else batch.paths))
-    return df.select("*", F.col("_metadata.file_name").alias("_file"))
+    return df.select("*", unit(read_path()).alias("_file"))
 
 
 def stack(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -7,31 +7,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.schemas import STATIONS, TRIPS
+from ridelens.sources import ledger
 
 
-def read_trips(spark: SparkSession, root: str, start=None, end=None, slack_months: int | None = 1) -> DataFrame:
+def read_trips(spark: SparkSession, root: str, start=None, end=None, slack_months: int | None = None) -> DataFrame:
     """The stored rides, optionally those that started from ``start`` to ``end``.
 
     The date range reaches the scan as a filter on started_at, which skips row groups.
-    Monthly files keep their file's month, so a ride may lie in a neighbouring
-    partition: ``slack_months`` says how far off that can be when partitions are pruned;
-    None prunes none.
+    Monthly files keep their file's month, however far from it a ride started, so
+    partitions are pruned by what the ledger says of their start times: months whose
+    first and last start lie outside are not listed. Months the ledger does not know are
+    read. ``slack_months`` prunes by the calendar too, and loses rides that lie further
+    off their month than that.
     """
     trips = spark.read.schema(TRIPS).parquet(root)
+    if start is None and end is None:
+        return trips
     partition = F.col("year") * 12 + F.col("month")
+    zones = ledger.latest_months(ledger.read(spark, root)).where("year is not null")
+    outside = F.lit(False)
     for bound, after in ((start, True), (end, False)):
         if bound is None:
             continue
         day = F.lit(bound).cast("date")
         if after:
-            trips = trips.where(F.col("started_at") >= day.cast("timestamp_ntz"))
+            first = day.cast("timestamp_ntz")
+            trips = trips.where(F.col("started_at") >= first)
+            outside = outside | (F.col("last_start") < first)
         else:
-            trips = trips.where(F.col("started_at") < F.date_add(day, 1).cast("timestamp_ntz"))
+            next_day = F.date_add(day, 1).cast("timestamp_ntz")
+            trips = trips.where(F.col("started_at") < next_day)
+            outside = outside | (F.col("first_start") >= next_day)
         if slack_months is not None:
             month = F.year(day) * 12 + F.month(day)
             inside = partition >= month - slack_months if after else partition <= month + slack_months
             trips = trips.where(inside)
-    return trips
+    # As many rows as there are months.
+    unwanted = [r.n for r in zones.where(outside).select(partition.alias("n")).collect()]
+    return trips.where(~partition.isin(*unwanted)) if unwanted else trips
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:

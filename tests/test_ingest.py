@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from datetime import date
 from pathlib import Path
 
@@ -88,9 +89,12 @@ def test_bulk_year_splits_by_start_and_yields_to_monthly_files(spark, folders, k
         ("2017-05-09 08:00:00", 2017, 5),
         ("2017-06-30 23:59:00", 2017, 6),
     ]
-    # A month that is loaded keeps its rows when the bulk file is read again.
-    assert ingest.load_trips(spark, str(folder), root, known)
+    # A loaded bulk file is not opened again, unless it has changed; then the monthly file's month still stands.
+    assert not ingest.load_trips(spark, str(folder), root, known)
+    os.utime(folder / "2017.parquet", (1, 1))
+    assert ingest.load_trips(spark, str(folder), root, known, changed=True)
     assert tables.read_trips(spark, root).where("year is not null").count() == 2
+    assert not ingest.load_trips(spark, str(folder), root, known, changed=True)
 
 
 def test_same_stem_in_two_formats_loads_once(spark, folders):
