@@ -260,16 +260,13 @@ for _level in _LEVELS:
     _add(f"time_level_{_short}", f"SELECT * FROM time_aggregated WHERE agg_level = '{_level}'", *_DUR)
 
 # --- dimension -----------------------------------------------------------------------
-_add(
-    "station_dimension",
-    """SELECT station_id, station_name, lat, lng, earliest_seen, latest_seen FROM (
+_DIMENSION = """SELECT station_id, station_name, lat, lng, earliest_seen, latest_seen FROM (
 SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY latest_seen DESC NULLS LAST, station_name NULLS FIRST) AS r FROM (
 SELECT station_id, station_name, avg(lat) AS lat, avg(lng) AS lng, min(seen_at) AS earliest_seen, max(seen_at) AS latest_seen FROM (
 SELECT start_station_id AS station_id, start_station_name AS station_name, start_lat AS lat, start_lng AS lng, started_at AS seen_at FROM nt
 UNION ALL SELECT end_station_id, end_station_name, end_lat, end_lng, started_at FROM nt)
-WHERE station_id IS NOT NULL GROUP BY 1, 2)) WHERE r = 1""",
-    *_STATION,
-)
+WHERE station_id IS NOT NULL GROUP BY 1, 2)) WHERE r = 1"""
+_add("station_dimension", _DIMENSION, *_STATION)
 _COORD = """SELECT start_station_id, start_station_name, avg(start_lat) AS start_lat, avg(start_lng) AS start_lng,
 min(started_at) AS earliest, max(started_at) AS latest FROM nt
 WHERE start_station_id IS NOT NULL AND start_station_name IS NOT NULL GROUP BY 1, 2"""
@@ -342,7 +339,7 @@ CAST(day(started_at) AS INTEGER) AS day, CAST(hour(started_at) AS INTEGER) AS ho
 FROM (SELECT *, year(started_at) AS y FROM nt)""",
     *_ENDS,
 )
-_add("loaded_months", "SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month FROM loaded")
+_add("busy_months", "SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month FROM loaded")
 _CALENDAR = """SELECT CAST(m // 12 AS INTEGER) AS year, CAST(m % 12 + 1 AS INTEGER) AS month FROM
 (SELECT unnest(range(first, last + 1)) AS m FROM (SELECT min(year * 12 + month - 1) AS first, max(year * 12 + month - 1) AS last FROM loaded))"""
 _add("missing_months", f"SELECT * FROM ({_CALENDAR}) c WHERE NOT EXISTS (SELECT 1 FROM loaded l WHERE l.year = c.year AND l.month = c.month)")
@@ -725,3 +722,84 @@ _add(
     "start_lng",
     "sqrt_num_checkouts",
 )
+
+
+# --- files and stored tables ---------------------------------------------------------
+# Rides as they lie in raw files, with the partition each comes to. A ride of a bulk year
+# whose month has a monthly file is left out; the file's month stands for monthly files.
+_PARTS["r"] = """
+SELECT *, year(started_at) AS y, rideable_type IS NOT DISTINCT FROM 'docked_bike' AND start_station_id % 10 = 3 AS no_start,
+       rideable_type IS NOT DISTINCT FROM 'docked_bike' AND end_station_id % 10 = 7 AS no_end,
+       CASE WHEN year(started_at) >= 1998 AND end_station_id % 37 = 0 THEN CAST(started_at AS DATE) + INTERVAL 2 MONTH ELSE started_at END AS fm
+FROM nt"""
+_PARTS["l"] = """
+SELECT CASE WHEN y >= 1998 THEN ride_id END AS ride_id, CASE WHEN y >= 1998 THEN rideable_type END AS rideable_type,
+       CASE WHEN y < 1998 OR NOT coalesce(no_start, false) THEN started_at END AS started_at, ended_at,
+       CASE WHEN y < 1998 OR NOT coalesce(no_start, false) THEN duration_sec END AS duration_sec,
+       start_station_id, start_station_name,
+       CASE WHEN y >= 1998 THEN 38.5::DOUBLE ELSE start_lat END AS start_lat, CASE WHEN y >= 1998 THEN -77.5::DOUBLE ELSE start_lng END AS start_lng,
+       CASE WHEN y < 1998 OR NOT coalesce(no_end, false) THEN end_station_id END AS end_station_id, end_station_name,
+       CASE WHEN y >= 1998 THEN 38.25::DOUBLE ELSE end_lat END AS end_lat, CASE WHEN y >= 1998 THEN -77.25::DOUBLE ELSE end_lng END AS end_lng,
+       CASE WHEN y < 1998 THEN bike_number END AS bike_number, member_type,
+       CAST(year(fm) AS INTEGER) AS year, CAST(month(fm) AS INTEGER) AS month,
+       CASE WHEN y < 1993 THEN '1992.csv' WHEN y = 1995 THEN '1995.parquet' WHEN y <= 1994 AND NOT (y = 1994 AND month(started_at) = 6) THEN y || '.csv'
+            ELSE strftime(fm, '%Y%m') || '.csv' END AS file_name,
+       y >= 1998 AND coalesce(no_start, false) AS bad_start, y >= 1998 AND coalesce(no_end, false) AS bad_end
+FROM r WHERE NOT (y = 1994 AND month(started_at) = 6 AND member_type IS DISTINCT FROM 'member')"""
+_LOADED = """ride_id, rideable_type, started_at, ended_at, duration_sec, start_station_id, start_station_name, start_lat, start_lng, end_station_id,
+end_station_name, end_lat, end_lng, bike_number, member_type, CAST(day(started_at) AS INTEGER) AS day, CAST(hour(started_at) AS INTEGER) AS hour,
+CAST(isodow(started_at) AS INTEGER) AS weekday, year, month"""
+_add("ingest_csv", f"SELECT {_LOADED} FROM l", *_ENDS)
+_add("ingest_bulk_split", "SELECT year, month, count(*) AS rides FROM l WHERE length(split_part(file_name, '.', 1)) = 4 GROUP BY 1, 2")
+_add(
+    "load_ledger",
+    """SELECT file_name, CASE WHEN length(split_part(file_name, '.', 1)) = 4 THEN 'bulk' ELSE 'monthly' END AS kind, year, month, count(*) AS rides,
+min(started_at) AS first_start, max(started_at) AS last_start, count_if(bad_start)::BIGINT AS unread_started_at, 0::BIGINT AS unread_ended_at,
+0::BIGINT AS unread_start_station_id, count_if(bad_end)::BIGINT AS unread_end_station_id FROM l GROUP BY 1, 2, 3, 4""",
+)
+_add("loaded_months", "SELECT DISTINCT year, month FROM l")
+_add("stored_months", "SELECT year, month, min(started_at) AS first_start, max(started_at) AS last_start, count(*) AS rides FROM l GROUP BY 1, 2")
+_add("trips_between", "SELECT ride_id, started_at, year, month FROM l WHERE started_at >= DATE '1998-06-10' AND started_at < DATE '1998-09-21'")
+_add(
+    "ingest_reload",
+    """SELECT CAST(1996 AS INTEGER) AS year, CAST(month(started_at) AS INTEGER) AS month,
+count(*) + CASE WHEN month(started_at) = 3 THEN count(member_type) ELSE 0 END AS rides, month(started_at) IN (3, 12) AS opened
+FROM t WHERE year(started_at) = 1996 AND (month(started_at) < 12 OR member_type IS NOT NULL) GROUP BY month(started_at)""",
+)
+_TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+_OLD = {
+    "start_date": _TIME.format("started_at"), "end_date": _TIME.format("ended_at"), "start_station_number": "CAST(start_station_id AS VARCHAR)",
+    "start_station": "start_station_name", "end_station_number": "CAST(end_station_id AS VARCHAR)", "end_station": "end_station_name",
+    "member_type": "member_type", "bike_number": "bike_number",
+}
+_NEW = {
+    "ride_id": "ride_id", "rideable_type": "rideable_type", "started_at": f"CASE WHEN no_start THEN 'n/a' ELSE {_TIME.format('started_at')} END",
+    "ended_at": _TIME.format("ended_at"), "start_station_name": "start_station_name", "start_station_id": "start_station_id || '.0'",
+    "end_station_name": "end_station_name", "end_station_id": "CASE WHEN no_end THEN 'none' ELSE CAST(end_station_id AS VARCHAR) END",
+    "start_lat": "'38.5'", "start_lng": "'-77.5'", "end_lat": "'38.25'", "end_lng": "'-77.25'", "member_casual": "member_type",
+}
+_STACKED = " UNION ALL ".join(
+    "SELECT " + ", ".join(f"{own.get(c, 'CAST(NULL AS VARCHAR)')} AS {c}" for c in [*_OLD, *_NEW]) + f" FROM r WHERE {when} AND strftime(fm, '%Y%m') IN ({names})"
+    for own, when, names in ((_OLD, "y < 1998", "'199711', '199712'"), (_NEW, "y >= 1998", "'199802', '199803'"))
+)
+_add("stack_drift", _STACKED)
+_add(
+    "numeric_ids",
+    """SELECT ride_id, CAST(start_station_id AS DOUBLE) AS start_station_id, CAST(end_station_id AS DOUBLE) AS end_station_id
+FROM r WHERE strftime(fm, '%Y%m') = '199805' AND start_station_id IS NOT NULL AND end_station_id IS NOT NULL AND NOT coalesce(no_end, false)""",
+)
+_add("stored_dimension", "SELECT * FROM s", "lat", "lng")
+_add("dimension_merge", f"SELECT d.*, s.city, s.state, s.zip_code FROM ({_DIMENSION}) d LEFT JOIN s USING (station_id)", *_STATION)
+_BUILT = ("system_daily", "system_daily_detailed", "station_daily", "station_daily_detailed", "station_hourly", "station_routes", "routes_by_member_rideable", "trip_patterns", "trip_duration_buckets", "time_aggregated")
+ORACLES["build_all"] = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n_rows FROM ({ORACLES[name]})" for name in _BUILT)
+for _new, _same in (
+    ("build_update_daily", "station_daily"),
+    ("build_update_detailed", "station_daily_detailed"),
+    ("build_update_hourly", "station_hourly"),
+    ("build_update_routes", "station_routes"),
+    ("build_analytics", "trip_patterns"),
+):
+    ORACLES[_new] = ORACLES[_same]
+_add("csv_export", "SELECT strftime(started_at, '%B') AS agg_value, count(*) AS trips FROM t WHERE duration_sec > 0 GROUP BY 1")
+ORACLES["journeys_of_bike"] = f"SELECT * FROM ({ORACLES['bike_journeys']}) WHERE bike_number = 'W00042'"
+ORACLES["inbound_of_station"] = f"SELECT * FROM ({ORACLES['inbound_routes']}) WHERE start_station_id = 31005"

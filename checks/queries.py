@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import stored
 from ridelens import standins
 from ridelens.functions import columns as fn
 from ridelens.plans import build, explorer, filters, flows, ingest, journeys, overview, routes, series, stations, system
@@ -271,7 +272,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _simple(
-    loaded_months=lambda t: t.loaded,
+    busy_months=lambda t: t.loaded,
     missing_months=lambda t: calendar.months_not_loaded(t.loaded),
     unloaded_months=lambda t: calendar.months_not_loaded(t.loaded, t.months.distinct()),
     months_after_latest=lambda t: calendar.months_after_latest(t.loaded, date(2003, 3, 1)),
@@ -402,3 +403,8 @@ _simple(
     station_imbalance=lambda t: journeys.station_imbalance(t.named),
     era_bubbles=_era_bubbles,
 )
+
+
+# --- files and stored tables ---------------------------------------------------------
+for _name, _make in stored.MADE.items():
+    QUERIES[_name] = lambda spark, folder, make=_make: rounded(make(stored.stored(spark, folder)))

@@ -61,7 +61,7 @@ def _write_tables(spark: SparkSession, stations: DataFrame, out: str, tables: li
         base, make = _BUILDERS[name]
         path = table_path(out, base)
         source = upkeep.read_cube(spark, path) if base in _CUBES else spark.read.parquet(path)
-        sinks.write_table(make(source, stations), table_path(out, name), sinks.LAYOUT[name], name in sinks.CLUSTERED)
+        sinks.write_table(make(source, stations), table_path(out, name), sinks.LAYOUT[name], name in sinks.CLUSTERED, sinks.BLOOM.get(name, ()))
 
     with ThreadPoolExecutor(at_once) as pool:
         for of_cubes in (True, False):

@@ -24,15 +24,23 @@ LAYOUT = {
 CLUSTERED = ("station_daily", "station_daily_detailed", "station_hourly")
 
 
-def write_table(df: DataFrame, path: str, layout: list[str] | None = None, clustered: bool = False) -> None:
-    """Replace a table, each file sorted by ``layout``.
+def write_table(
+    df: DataFrame, path: str, layout: list[str] | None = None, clustered: bool = False, bloom: tuple[str, ...] = ()
+) -> None:
+    """Replace a table, each file sorted by ``layout``, with Bloom filters on the columns of ``bloom``.
 
     ``clustered`` also gives each file a range of it.  Ranges over several columns
-    split a hot first value, and no task sorts the whole.
+    split a hot first value, and no task sorts the whole.  A Bloom filter lets a reader
+    skip row groups by a column that the order says nothing about.
     """
     if layout:
         df = (df.repartitionByRange(*layout) if clustered else df).sortWithinPartitions(*layout)
-    df.write.mode("overwrite").parquet(path)
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+    df.write.mode("overwrite").options(**options).parquet(path)
+
+
+# Columns that tables are read by besides those they are sorted by.
+BLOOM = {"station_routes": ("end_station_id",)}
 
 
 def write_trips(df: DataFrame, root: str, compact: bool = True) -> None:

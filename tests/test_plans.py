@@ -18,6 +18,22 @@ def test_rides_are_scanned_once_per_flow_table(spark):
         assert plan.count("lineitem.parquet") == 1, name
 
 
+@pytest.mark.parametrize(
+    "name, scans",
+    [("hourly_grid", 1), ("grid_range", 1), ("station_imbalance", 1), ("era_bubbles", 1), ("station_routes", 1), ("routes_by_member_rideable", 1)],
+)
+def test_inputs_are_read_once(spark, name, scans):
+    assert plan_of(QUERIES[name](spark, SMALL), "simple").count("lineitem.parquet") == scans
+
+
+@pytest.mark.parametrize("name", ["map_marker_scale", "system_route_map", "time_insights"])
+def test_figures_of_a_whole_column_are_one_more_read(spark, name):
+    df = QUERIES[name](spark, SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert len(set(re.findall(r"[^d]Subquery subquery#(\d+)", final)) - set(re.findall(r"ReusedSubquery Subquery subquery#(\d+)", final))) <= 1
+
+
 def test_scans_read_only_the_columns_they_need(spark):
     plan = plan_of(QUERIES["system_daily"](spark, SMALL))
     read = re.search(r"ReadSchema: struct<(.*?)>\n", plan).group(1)
