@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 tokenizer_path = public_tokenizers.path
 
 
-BATCH_ROWS = 1000  # that go to Python at once: texts may be long, and two tasks share an executor's memory
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # that go to Python at once: texts may be long, and two tasks share an executor's memory
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> None:
     On a cluster the package is installed or sent along (``--py-files``).
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     # As RDD code has it: Python workers are shared only among code with equal settings,
     # and idle ones of another kind hold memory.
     spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
@@ -42,9 +43,16 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, as the session names it; a local one only where it names none."""
+    """The folder all machines share, as the session names it.
+
+    A session on one machine may name none and gets a local one; any other would lose rows
+    that machines write where others do not see them, so it has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
