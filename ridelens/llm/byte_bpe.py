@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.llm.bpe import Ranks, read_ranks
-from ridelens.llm.shared import Memo, tokenizer_path, units
+from ridelens.llm.shared import Memo, tokenizer_path, units, unused
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 UNITS_KEPT, PIECES_KEPT = 80_000, 250_000
@@ -127,8 +127,9 @@ def coded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"ids": [i.tobytes() for i in ids], "decoded": [own.decode(i) for i in ids]})
 
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    made = docs.select(*kept, both(F.coalesce("text", F.lit(""))).alias("_coded"))
-    return made.select(*kept, "_coded.ids", "_coded.decoded")
+    name = unused("coded", docs)
+    made = docs.select(*kept, both(F.coalesce("text", F.lit(""))).alias(name))
+    return made.select(*kept, f"{name}.ids", f"{name}.decoded")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,40 +17,27 @@ from pyspark.sql import functions as F
 from ridelens.llm.bpe import read_json_ranks
 from ridelens.llm.patterns import Slots, plan
 from ridelens.llm.shared import stored, texts, tokenizer_path, units
+from ridelens.llm.unit_ids import KnownUnits, together
 
 TOKENIZER, SPECIAL, END, ROOM = "byte_bpe_50k.json", "<|endoftext|>", 2, 1024
 UNITS_KEPT = 800_000
-AT_ONCE = 8_000_000  # bytes of text that are encoded together
 PIECES = pa.schema(
     [("part", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
 )
 
 
-class BatchEncoder:
+class BatchEncoder(KnownUnits):
     """Ids of whole columns of texts as the tokenizers library gives them.
 
     A text is cut at spaces that follow another character, where no token reaches
-    across. Units met before are known by their place in an Arrow array, with their ids
-    one after another in a numpy array; when there are too many, those not met again
-    since the last time are forgotten. So only new units become Python objects, and ids
-    are laid out by numpy wherever their unit stands.
+    across, so that each unit is encoded by itself.
     """
 
     def __init__(self, path: str, most: int = UNITS_KEPT):
+        super().__init__(most)
         ranks = {token: i for token, i in read_json_ranks(path).items() if token.decode("latin-1") != SPECIAL}
         self.special = [max(ranks.values()) + 1]
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.most = most
-        self.known = pa.array([], pa.large_string())
-        self.ids, self.ends, self.odd = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int8)
-        self.met = np.zeros(0, bool)
-
-    def _forget(self, room: int) -> None:
-        """Leaves `room` by dropping the units not met again, or all if that is not enough."""
-        keep = self.met if self.met.sum() + room <= self.most else np.zeros(len(self.met), bool)
-        sizes = np.diff(self.ends, prepend=0)
-        self.ids, self.ends = self.ids[np.repeat(keep, sizes)], np.cumsum(sizes[keep])
-        self.known, self.odd, self.met = self.known.filter(pa.array(keep)), self.odd[keep], np.zeros(int(keep.sum()), bool)
 
     def text(self, text: str) -> list[int]:
         """A special string is one token and cuts the text, as the library has it by default."""
@@ -62,17 +48,10 @@ class BatchEncoder:
                 ids += self.encode(" " * (k > 0) + unit)
         return ids
 
-    def _learn(self, new: pa.Array) -> None:
+    def learn(self, new: list[str]) -> tuple[list[list[int]], list[int]]:
         """Units with a space before them. Odd are those that, within a text, do not end where a token
         does (empty, or white space at the end: 1), or may hold a special string (2)."""
-        made = new.to_pylist()
-        ids = [self.encode(" " + unit) for unit in made]
-        begin = self.ends[-1] if len(self.ends) else 0
-        self.known = pa.concat_arrays([self.known, new])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.ends = np.concatenate([self.ends, begin + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        self.met = np.concatenate([self.met, np.zeros(len(made), bool)])
-        self.odd = np.concatenate([self.odd, np.array([2 if SPECIAL in u else not u or u[-1].isspace() for u in made], np.int8)])
+        return [self.encode(" " + u) for u in new], [2 if SPECIAL in u else not u or u[-1].isspace() for u in new]
 
     def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text ends."""
@@ -82,16 +61,7 @@ class BatchEncoder:
         ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
         firsts = np.concatenate([[0], ends[:-1]])
         coded = lists.flatten().dictionary_encode()
-        if len(self.known) + len(coded.dictionary) > self.most:
-            self._forget(len(coded.dictionary))
-        found = pc.index_in(coded.dictionary, self.known)
-        new = found.is_null().to_numpy(zero_copy_only=False)
-        place = found.fill_null(0).to_numpy().astype(np.int64)
-        self.met[place[~new]] = True
-        place[new] = len(self.known) + np.arange(new.sum())
-        self._learn(coded.dictionary.filter(pa.array(new)))
-        row = place[coded.indices.to_numpy()]
-
+        row = self.places(coded)
         odd = self.odd[row]
         odd[ends - 1] &= 2
         whole = np.maximum.reduceat(odd, firsts) > 0  # these texts are encoded by themselves
@@ -100,12 +70,7 @@ class BatchEncoder:
         n = len(self.known)
         row[np.repeat(whole, ends - firsts)] = n  # nothing
         row[firsts] = n + 1 + np.arange(len(own))
-        sizes = np.concatenate([np.diff(self.ends, prepend=0), [0], np.fromiter(map(len, own), np.int64, len(own))])
-        flat = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.uint32)])
-        begins = np.cumsum(sizes) - sizes
-        taken = sizes[row]
-        upto = np.cumsum(taken)
-        return flat[np.repeat(begins[row] - (upto - taken), taken) + np.arange(upto[-1])], upto[ends - 1]
+        return self.laid_out(row, ends, own)
 
 
 _encoders: dict[str, BatchEncoder] = {}
@@ -118,19 +83,6 @@ def encoder(path: str) -> BatchEncoder:
     return _encoders[path]
 
 
-def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small batches joined, up to AT_ONCE bytes of the second column; empty ones are left out."""
-    waiting, size = [], 0
-    for batch in batches:
-        waiting += [batch] * bool(batch.num_rows)
-        size += batch.column(1).nbytes
-        if size >= AT_ONCE:
-            yield pa.concat_batches(waiting)
-            waiting, size = [], 0
-    if waiting:
-        yield pa.concat_batches(waiting)
-
-
 def cut(ids: np.ndarray, ends: np.ndarray, room: int) -> dict[str, np.ndarray]:
     """Documents (with their end ids) in pieces of at most `room` ids: the first may be shorter, the others are full."""
     sizes = np.diff(ends, prepend=0)

@@ -289,7 +289,7 @@ def test_licence_scores_are_those_of_all_sentences(session):
 def test_wavelet_matrix():
     r = random.Random(6)
     ids = np.array([r.choice([1, 2, 3, 7, 49_000]) for _ in range(2500)], np.uint32)
-    matrix = WaveletMatrix.from_bytes(WaveletMatrix.build(ids, 16).to_bytes())
+    matrix = WaveletMatrix.from_bytes(WaveletMatrix.pack(ids, 16))
     assert (matrix.all() == ids).all() and all(matrix.access(i) == ids[i] for i in range(0, 2500, 61))
     for value in (1, 7, 49_000, 12):
         places = np.flatnonzero(ids == value)
