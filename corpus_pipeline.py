@@ -1,17 +1,21 @@
 """A pipeline over documents: toxic ones go, copies and near copies go, domains are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read
-again before the next. Rows with a null id pass the stages that decide by id. Repeated
-rows of one id are one document: they stay or go together.
+again before the next. Toxicity decides by the text of each row, copies go by id and
+text, near copies and rates by id alone; a null id passes all of these but the first.
+Repeated rows (of one id and one text) stay or go together. Empty texts, null among them,
+are copies of each other. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
-from ridelens.llm.shared import prepare, stored, table
+from ridelens.llm.shared import prepare, stored, table, unused
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +26,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id; another text under the id of one that goes stays."""
     prepare(spark)
-    copies = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    digest = unused("text_sha256", docs)
+    copies = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id", F.col("text_sha256").alias(digest)).distinct()
+    lowered = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
+    marked = docs.withColumn(digest, F.sha2(lowered.cast("binary"), 256))
+    return marked.join(copies, ["doc_id", digest], "left_anti").select(docs.columns)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +45,12 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says; small domains gain, large ones lose."""
     prepare(spark)
+    n, copy = unused("copies", docs), unused("copy", docs)
     mixed = mixing.mixture(docs, table(spark, sf_dir, "labels"))
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    times = F.coalesce("_copies", F.lit(1))
-    repeated = docs.join(copies, "doc_id", "left").where(times > 0)
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    rates = mixed.groupBy("doc_id").agg(F.max("copies").alias(n))
+    times = F.coalesce(n, F.lit(1))
+    repeated = docs.join(rates, "doc_id", "left").where(times > 0)
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
