@@ -15,9 +15,10 @@ import time
 from checks.queries import MAKERS, StoredTables, Tables
 from pyspark.sql import functions as F
 from ridelens import sinks
-from ridelens.plans.build import build
+from ridelens.plans.build import ANALYTICS_TABLES, build, build_from
 from ridelens.plans.ingest import normalize
 from ridelens.session import build_session
+from ridelens.sources import ledger
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -80,6 +81,24 @@ def main() -> None:
     spark.stop()
 
 
+def one_month_more(spark, trips_root: str, built: str, raw: Tables) -> float:
+    """Bringing all tables up to date when one month of the stored rides has been loaded again."""
+    kept, stations = f"{trips_root}_kept", f"{trips_root}_stations"
+    sinks.write_table(raw.places, stations)
+    rides = spark.read.parquet(trips_root)
+
+    def load(part, name: str) -> None:
+        marked = part.withColumns({ledger.FILE: F.lit(name), ledger.LOAD: F.lit(name), ledger.UNREAD: F.lit(0)})
+        sinks.write_trips(marked.select(*ledger.STORED.names), kept)
+        file = spark.createDataFrame([(name, 0, None, "bulk")], "path string, length long, modified timestamp, kind string")
+        ledger.append(ledger.entries(spark, kept, name, file, None), kept)
+
+    load(rides, "all")
+    build_from(spark, kept, stations, built)
+    load(rides.where("year = 1997 and month = 5"), "again")
+    return seconds(lambda: build_from(spark, kept, stations, built))
+
+
 def run(spark, trips_root: str, built: str) -> dict[str, float]:
     raw = Tables(spark, FOLDER)
 
@@ -103,6 +122,8 @@ def run(spark, trips_root: str, built: str) -> dict[str, float]:
     for name in FROM_RIDES:
         times[name] = middle(lambda: MAKERS[name](rides))
     times["build_all_tables"] = second(lambda: build(spark, rides.trips, rides.places, built))
+    times["build_analytics_tables"] = second(lambda: build(spark, rides.trips, rides.places, f"{built}_some", ANALYTICS_TABLES))
+    times["build_one_month_more"] = one_month_more(spark, trips_root, f"{built}_kept", raw)
     summaries = StoredTables(spark, FOLDER, trips_root, built)
     for name in FROM_SUMMARIES:
         times[f"{name}_from_tables"] = middle(lambda: MAKERS[name](summaries))

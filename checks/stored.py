@@ -8,7 +8,7 @@ share, rides that lie two months off their file, and times and ids that cannot b
 from __future__ import annotations
 
 from datetime import date
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,15 +87,27 @@ def put_raw_files(spark: SparkSession, folder: str, target: str) -> None:
 
 
 class Stored:
-    """Raw files made of a folder of test tables, loaded into a ride table and a dimension once a session."""
+    """Raw files made of a folder of test tables, a ride table loaded from them and a dimension; each is made when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.base = scratch_folder(spark, "stored")
-        self.raw, self.trips, self.stations = (f"{self.base}/{name}" for name in ("raw", "trips", "stations"))
-        put_raw_files(spark, folder, self.raw)
-        sinks.write_table(standins.stations(spark, folder, standins.trips_li(spark, folder)), self.stations)
-        self.entries = ingest.load_trips(spark, self.raw, self.trips, tables.read_stations(spark, self.stations))
+
+    @cached_property
+    def raw(self) -> str:
+        put_raw_files(self.spark, self.folder, f"{self.base}/raw")
+        return f"{self.base}/raw"
+
+    @cached_property
+    def stations(self) -> str:
+        rides = standins.trips_li(self.spark, self.folder)
+        sinks.write_table(standins.stations(self.spark, self.folder, rides), f"{self.base}/stations")
+        return f"{self.base}/stations"
+
+    @cached_property
+    def trips(self) -> str:
+        ingest.load_trips(self.spark, self.raw, f"{self.base}/trips", tables.read_stations(self.spark, self.stations))
+        return f"{self.base}/trips"
 
     def files(self) -> DataFrame:
         return raw.list_files(self.spark, self.raw)

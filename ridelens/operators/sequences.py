@@ -15,17 +15,18 @@ def number_and_look_back(
     ``order`` (the day of its first column, say); null counts as first.  A window over
     a whole key would put a hot key's rows into one task.  Here rows are sorted within
     (key, slice), and a summary with one row per (key, slice) carries the count and the
-    last value of the earlier slices across the boundary.  The wide rows are shuffled
-    once: the join uses the partitioning of the window.
+    last value of the earlier slices across the boundary.  The rows are read and shuffled
+    once: window, summary and join use the same partitioning, and as the summary takes
+    whole rows along, it reads the very shuffle that the window reads.
     """
-    sliced = df.withColumn("_slice", F.coalesce(slice_by.cast("int"), F.lit(-(2**31)).cast("int")))
+    sliced = df.withColumn("_slice", F.coalesce(slice_by.cast("int"), F.lit(-(2**31)).cast("int"))).repartition(key, "_slice")
     within = Window.partitionBy(key, "_slice").orderBy(*order)
     rows = sliced.withColumn("_number", F.row_number().over(within)).withColumn(
         "_previous", F.lag(look_back).over(within)
     )
 
-    # The value is wrapped because it may be null; the order columns decide the maximum.
-    last = F.max(F.struct(*order, F.struct(look_back).alias("_last")))["_last"]
+    # The row is wrapped because values may be null; the order columns decide the maximum.
+    last = F.max(F.struct(*order, F.struct(*df.columns).alias("_last")))["_last"]
     earlier = Window.partitionBy(key).orderBy("_slice")
     offset = F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
     summary = (

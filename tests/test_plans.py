@@ -34,6 +34,13 @@ def test_figures_of_a_whole_column_are_one_more_read(spark, name):
     assert len(set(re.findall(r"[^d]Subquery subquery#(\d+)", final)) - set(re.findall(r"ReusedSubquery Subquery subquery#(\d+)", final))) <= 1
 
 
+def test_journeys_read_one_shuffle_twice(spark):
+    df = QUERIES["bike_journeys"](spark, SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert final.count("lineitem.parquet") == 1 and "ReusedExchange [ride_id" in final
+
+
 def test_scans_read_only_the_columns_they_need(spark):
     plan = plan_of(QUERIES["system_daily"](spark, SMALL))
     read = re.search(r"ReadSchema: struct<(.*?)>\n", plan).group(1)
