@@ -52,7 +52,7 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
 
 def types_differ(spark_df, con, sql: str) -> list[str]:
     """Columns whose SQL type is not the one Spark reports."""
-    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     found = {r[0]: r[1] for r in con.sql(f"DESCRIBE {sql}").fetchall()}
     return [f"{c}: {t} vs {found.get(c)}" for c, t in spark_df.dtypes if names.get(t) != found.get(c)]
 

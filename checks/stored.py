@@ -172,9 +172,8 @@ def ingest_reload(s: Stored) -> DataFrame:
     again = rides.where("raw in ('199603.csv', '199612.csv') and member_type is not null")
     _write_raw(_old(again), source)  # one more part of March's file, and December
     opened = ingest.load_trips(spark, source, trips, known, changed=True)
-    names = spark.createDataFrame([(r.year, r.month) for r in opened], "year int, month int").withColumn("opened", F.lit(True))
     counts = tables.read_trips(spark, trips).groupBy("year", "month").agg(F.count(F.lit(1)).alias("rides"))
-    return counts.join(names, ["year", "month"], "left").withColumn("opened", F.coalesce("opened", F.lit(False)))
+    return counts.withColumn("opened", (F.col("year") * 12 + F.col("month")).isin(*[12 * r.year + r.month for r in opened]))
 
 
 def stack_drift(s: Stored) -> DataFrame:

@@ -54,7 +54,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STATIONS)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in STATIONS.fields])
 
 
 def read_filtered(spark: SparkSession, path: str, column: str, value) -> DataFrame:
