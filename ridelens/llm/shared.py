@@ -19,6 +19,10 @@ tokenizer_path = public_tokenizers.path
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # that go to Python at once: texts may be long, and two tasks share an executor's memory
 
 
+# Python workers give freed memory back at once: idle ones stay beside those at work.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
 def prepare(spark: SparkSession) -> None:
     """Keeps batches for Python small, and lets Python workers on this machine import the package.
 
@@ -30,7 +34,8 @@ def prepare(spark: SparkSession) -> None:
     # and idle ones of another kind hold memory.
     spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    for name, value in (("PYTHONPATH", root), *LEAN.items()):
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
