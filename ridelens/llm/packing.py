@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from ridelens.llm.bpe import read_json_ranks
 from ridelens.llm.patterns import Slots, plan
 from ridelens.llm.shared import stored, texts, tokenizer_path, units
-from ridelens.llm.unit_ids import KnownUnits, together
+from ridelens.llm.unit_ids import SpacedUnits, together
 
 TOKENIZER, SPECIAL, END, ROOM = "byte_bpe_50k.json", "<|endoftext|>", 2, 1024
 UNITS_KEPT = 800_000
@@ -26,7 +25,7 @@ PIECES = pa.schema(
 )
 
 
-class BatchEncoder(KnownUnits):
+class BatchEncoder(SpacedUnits):
     """Ids of whole columns of texts as the tokenizers library gives them.
 
     A text is cut at spaces that follow another character, where no token reaches
@@ -53,25 +52,6 @@ class BatchEncoder(KnownUnits):
         does (empty, or white space at the end: 1), or may hold a special string (2)."""
         return [self.encode(" " + u) for u in new], [2 if SPECIAL in u else not u or u[-1].isspace() for u in new]
 
-    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text ends."""
-        if not len(column):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        lists = pc.split_pattern(column.cast(pa.large_string()), " ")
-        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-        firsts = np.concatenate([[0], ends[:-1]])
-        coded = lists.flatten().dictionary_encode()
-        row = self.places(coded)
-        odd = self.odd[row]
-        odd[ends - 1] &= 2
-        whole = np.maximum.reduceat(odd, firsts) > 0  # these texts are encoded by themselves
-        first = coded.dictionary.take(coded.indices.take(pa.array(firsts))).to_pylist()
-        own = [self.text(column[i].as_py()) if whole[i] else self.encode(first[i]) for i in range(len(column))]
-        n = len(self.known)
-        row[np.repeat(whole, ends - firsts)] = n  # nothing
-        row[firsts] = n + 1 + np.arange(len(own))
-        return self.laid_out(row, ends, own)
-
 
 _encoders: dict[str, BatchEncoder] = {}
 

@@ -72,6 +72,37 @@ class KnownUnits:
         return flat[np.repeat(begins[row] - upto[:-1], taken) + np.arange(upto[-1])], upto[ends]
 
 
+class SpacedUnits(KnownUnits):
+    """Units between spaces, encoded with the space before them, for texts where no token reaches across such a cut."""
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text's first unit."""
+        raise NotImplementedError
+
+    def text(self, text: str) -> list[int]:
+        """Ids of a whole text with odd units."""
+        raise NotImplementedError
+
+    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends."""
+        if not len(column):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lists = pc.split_pattern(column.cast(pa.large_string()), " ")
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        firsts = np.concatenate([[0], ends[:-1]])
+        coded = lists.flatten().dictionary_encode()
+        row = self.places(coded)
+        odd = self.odd[row]
+        odd[ends - 1] &= 2
+        whole = np.maximum.reduceat(odd, firsts) > 0  # these texts are encoded by themselves
+        first = coded.dictionary.take(coded.indices.take(pa.array(firsts))).to_pylist()
+        own = [self.text(column[i].as_py()) if whole[i] else self.encode(first[i]) for i in range(len(column))]
+        n = len(self.known)
+        row[np.repeat(whole, ends - firsts)] = n  # nothing
+        row[firsts] = n + 1 + np.arange(len(own))
+        return self.laid_out(row, ends, own)
+
+
 def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small batches joined, up to AT_ONCE bytes of the second column; empty ones are left out."""
     waiting, size = [], 0

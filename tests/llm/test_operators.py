@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -147,6 +148,33 @@ def test_bpe_is_the_librarys_and_comes_back():
         assert own.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("most", [800_000, 40])
+def test_columns_are_encoded_by_different_units(most):
+    """A unit of a column is matched once however often it stands there, and ids and bytes stay the library's."""
+    path = public_tokenizers.path(byte_bpe.TOKENIZER)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    own = byte_bpe.ColumnEncoder(path, most)
+    for column in (some_texts(), ["", " ", "a" * 5000, " a  b", "ab c\x1c d\x85 e"], [], some_texts(), ["once x10 once x10 once"]):
+        ids, ends = own.column(pa.array(column, pa.string()))
+        assert [list(memoryview(i).cast("I")) for i in byte_bpe.of_each(ids, ends)] == [library.encode_ordinary(t) for t in column]
+        assert [bytes(d) for d in own.decode(ids, ends)] == [t.encode() for t in column]
+    made, many = own.own.find, []
+    own.own.find = lambda unit: many.append(unit) or made(unit)
+    own.column(pa.array(["a new99 one", "a new99 one"] * 500))
+    assert many.count(" new99") == 1
+
+
+def test_shorter_tokens_are_tried_without_a_search():
+    own = byte_bpe.Encoder(public_tokenizers.path(byte_bpe.TOKENIZER))
+    r = random.Random(3)
+    for token in r.sample(sorted(own.ids), 2000):
+        begins = [own.ids.get(token[:n], byte_bpe.NONE) for n in range(1, len(token) + 1)]
+        known = [i for i in begins[:-1] if i != byte_bpe.NONE]
+        assert own.shorter[own.ids[token]] == (known[-1] if known else byte_bpe.NONE)
+        for n in range(1, len(token) + 1):
+            assert own.match[token[:n]] == [i for i in begins[:n] if i != byte_bpe.NONE][-1]
+
+
 def test_neighbours_fit_as_merges_have_it():
     ranks = Ranks(read_ranks(public_tokenizers.path(byte_bpe.TOKENIZER)))
     r = random.Random(2)
