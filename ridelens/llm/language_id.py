@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -40,57 +42,109 @@ def read_pieces(path: str) -> dict[str, int]:
     return pieces
 
 
-_pieces: dict[str, dict[str, int]] = {}
+class Trie:
+    """Pieces as ways of letters from node 0, walked by many words at once."""
 
+    def __init__(self, pieces: dict[str, int]):
+        nodes: dict[str, int] = {"": 0}
+        for piece in pieces:
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+        self.piece = np.full(len(nodes), -1)  # of the way to a node, or -1
+        for piece, i in pieces.items():
+            self.piece[nodes[piece]] = i
+        del nodes[""]
+        steps = sorted((nodes.get(way[:-1], 0) << 21 | ord(way[-1]), node) for way, node in nodes.items())
+        # From a node by a letter: keys ascending, and a last one that is never met.
+        self.keys = np.array([key for key, _ in steps] + [np.iinfo(np.int64).max])
+        self.nodes = np.array([node for _, node in steps] + [0])
 
-def pieces_of(path: str) -> dict[str, int]:
+    def step(self, nodes: np.ndarray | int, letters: np.ndarray) -> np.ndarray:
+        """The nodes that letters lead to, 0 where there is none."""
+        keys = nodes << 21 | letters
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.nodes[at], 0)
+
+
+class Pieces(NamedTuple):
+    number: dict[str, int]
+    trie: Trie
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
     if path not in _pieces:
-        _pieces[path] = read_pieces(path)
+        number = read_pieces(path)
+        _pieces[path] = Pieces(number, Trie(number))
     return _pieces[path]
 
 
-def arcs(words: list[str], length: int, pieces: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, piece of each word) between places of words of one length; -1 where there is no piece."""
-    get = pieces.get
-    for to in range(1, length + 1):
-        for begin in range(max(0, to - LONGEST), to):
-            found = [get(w[begin:to], -1) for w in words]
-            if to == begin + 1:
-                found = [max(i, 0) for i in found]
-            if max(found) >= 0:
-                yield begin, to, np.array(found)
+def arcs(words: list[str], length: int, trie: Trie) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, places of words, their pieces) between places of words of one length, by `to`, then `from`.
 
-
-def forward(words: list[str], length: int, chances: np.ndarray, pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list]:
-    """Chances (words, places, languages) of all cuts up to each place, with scales' logs, and the arcs.
+    From each place all words go down the trie together; a word stays while pieces go on.
+    A single letter that is no piece is piece 0.
+    """
+    letters = np.array(words, f"U{length}").view(np.uint32).reshape(len(words), length).T.astype(np.int64)
+    different, of_word = np.unique(letters, return_inverse=True)
+    first = trie.step(0, different)[of_word.reshape(letters.shape)]
+    found = []
+    for begin in range(length):
+        nodes, rows = first[begin], np.arange(len(words))
+        found.append((begin, begin + 1, rows, np.maximum(trie.piece[nodes], 0) * (nodes > 0)))
+        for to in range(begin + 2, min(begin + LONGEST, length) + 1):
+            on = nodes > 0
+            rows = rows[on]
+            if not len(rows):
+                break
+            nodes = trie.step(nodes[on], letters[to - 1][rows])
+            ids = np.where(nodes > 0, trie.piece[nodes], -1)
+            there = ids >= 0
+            if there.any():
+                found.append((begin, to, rows[there], ids[there]))
+    return sorted(found, key=itemgetter(1, 0))
+
+
+def forward(words: list[str], length: int, chances: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.ndarray, list]:
+    """Chances (places, words, languages) of all cuts up to each place, with scales' logs, and the arcs.
 
     Each place is scaled by its largest chance, so that long words do not run out of range.
     """
     k = chances.shape[1]
-    alpha = np.zeros((len(words), length + 1, k))
-    alpha[:, 0] = 1
-    logs = np.zeros((len(words), length + 1))
-    kept = []
-    for begin, to, ids in arcs(words, length, pieces):
-        on = ids >= 0
-        kept.append((begin, to, ids))
-        # Chances at `begin` are in units of exp(logs[begin]); those at `to` are in units of exp(logs[to - 1]).
-        unit = np.exp(logs[on, begin] - logs[on, to - 1])[:, None]
-        alpha[on, to] += alpha[on, begin] * chances[ids[on]] * unit
-        if begin == to - 1:
-            top = np.maximum(alpha[:, to].max(axis=1), 1e-300)
-            alpha[:, to] /= top[:, None]
-            logs[:, to] = logs[:, to - 1] + np.log(top)
+    alpha = np.zeros((length + 1, len(words), k))
+    alpha[0] = 1
+    logs = np.zeros((length + 1, len(words)))
+    kept = arcs(words, length, trie)
+    for begin, to, rows, ids in kept:
+        if begin == to - 1:  # the last arc to a place, and of all words
+            alpha[to] += alpha[begin] * chances[ids]
+            top = np.maximum(alpha[to].max(axis=1), 1e-300)
+            alpha[to] /= top[:, None]
+            logs[to] = logs[to - 1] + np.log(top)
+        else:
+            # Chances at `begin` are in units of exp(logs[begin]); those at `to` are in units of exp(logs[to - 1]).
+            unit = np.exp(logs[begin, rows] - logs[to - 1, rows])[:, None]
+            alpha[to, rows] += alpha[begin, rows] * chances[ids] * unit
     return alpha, logs, kept
 
 
-def word_logs(words: list[str], chances: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
+def _trie(pieces: Pieces | dict[str, int]) -> Trie:
+    return pieces.trie if isinstance(pieces, Pieces) else Trie(pieces)
+
+
+def word_logs(words: list[str], chances: np.ndarray, pieces: Pieces | dict[str, int]) -> np.ndarray:
     """Log chance of each word (a mark is put before it) in each language."""
+    trie = _trie(pieces)
     out = np.zeros((len(words), chances.shape[1]))
     for length, places in by_length(words).items():
         group = [MARK + words[i] for i in places]
-        alpha, logs, _ = forward(group, length + 1, chances, pieces)
-        out[places] = np.log(np.maximum(alpha[:, -1], 1e-300)) + logs[:, -1:]
+        alpha, logs, _ = forward(group, length + 1, chances, trie)
+        out[places] = np.log(np.maximum(alpha[-1], 1e-300)) + logs[-1][:, None]
     return out
 
 
@@ -101,20 +155,20 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
     return places
 
 
-def expected_counts(words: list[str], times: np.ndarray, chances: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
+def expected_counts(words: list[str], times: np.ndarray, chances: np.ndarray, pieces: Pieces | dict[str, int]) -> np.ndarray:
     """How often each piece is expected in words of one language, over all their cuts (forward and backward)."""
     counts = np.zeros(len(chances))
+    trie = _trie(pieces)
     for length, places in by_length(words).items():
         group, weight = [MARK + words[i] for i in places], times[places]
-        alpha, logs, kept = forward(group, length + 1, chances[:, None], pieces)
+        alpha, logs, kept = forward(group, length + 1, chances[:, None], trie)
         alpha = alpha[:, :, 0]
         beta = np.zeros_like(alpha)  # of place i in units of exp(logs[-1] - logs[i])
-        beta[:, -1] = 1 / np.maximum(alpha[:, -1], 1e-300)
-        for begin, to, ids in sorted(kept, key=lambda arc: -arc[1]):
-            on = ids >= 0
-            flow = chances[ids[on]] * np.exp(logs[on, begin] - logs[on, to]) * beta[on, to]
-            beta[on, begin] += flow
-            np.add.at(counts, ids[on], weight[on] * alpha[on, begin] * flow)
+        beta[-1] = 1 / np.maximum(alpha[-1], 1e-300)
+        for begin, to, rows, ids in sorted(kept, key=lambda arc: -arc[1]):
+            flow = chances[ids] * np.exp(logs[begin, rows] - logs[to, rows]) * beta[to, rows]
+            beta[begin, rows] += flow
+            np.add.at(counts, ids, weight[rows] * alpha[begin, rows] * flow)
     return counts
 
 
@@ -124,7 +178,7 @@ class Model(NamedTuple):
     chances: np.ndarray  # of pieces by language
 
 
-def first_guess(pieces: dict[str, int]) -> np.ndarray:
+def first_guess(pieces: Pieces) -> np.ndarray:
     """Chances that fall with a piece's place in the vocabulary, which is by frequency."""
     guess = 1.0 / (np.arange(len(pieces)) + 50.0)
     guess[0] = 1e-7
@@ -191,12 +245,20 @@ def fit(docs: DataFrame, rows: int = ROWS, rounds: int = ROUNDS, vocabulary: str
     return Model(languages, np.log(n / n.sum()), chances)
 
 
+class Numbers(dict):
+    """A number for each word, in the order they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Scorer:
     """Log chances of words, remembered while there is room; new words of a batch are scored together."""
 
     def __init__(self, model: Model, path: str):
         self.model, self.pieces = model, pieces_of(path)
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.logs = np.zeros((0, len(model.languages)))
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -216,16 +278,15 @@ class Scorer:
         if len(known) > WORDS_KEPT:
             known.clear()
             self.logs = self.logs[:0]
-        new = list({w for words in texts for w in words if w not in known})
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        number = known.__getitem__
+        places = [np.fromiter(map(number, words), np.int64, len(words)) for words in texts]
+        if new := list(islice(known, len(self.logs), None)):
             self.logs = np.concatenate([self.logs, word_logs(new, self.model.chances, self.pieces)])
-        return [self._one(words) for words in texts]
+        return [self._one(of_text) for of_text in places]
 
-    def _one(self, words: list[str]) -> tuple[str, float]:
-        if not words or not self.model.languages:
+    def _one(self, places: np.ndarray) -> tuple[str, float]:
+        if not len(places) or not self.model.languages:
             return UNDETERMINED, 0.0
-        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         total = self.logs[places].sum(axis=0) + self.model.log_prior
         chances = np.exp(total - total.max())
         best = int(np.argmax(total))

@@ -410,6 +410,20 @@ def test_all_cuts_are_summed():
     assert np.isclose(sum(counts[i] * max(len(p), 1) for p, i in pieces.items()), sum(len(w) + 1 for w in words))
 
 
+def test_words_walk_the_trie_together():
+    """Arcs are those that looking up every part of every word gives; parts of no piece are not looked up."""
+    pieces = language_id.pieces_of(language_id.tokenizer_path(language_id.VOCABULARY))
+    r, trie = random.Random(4), language_id.Trie(pieces.number)
+    some = [p for p in pieces.number if p]
+    words = ["".join(r.choices(some, k=3))[:9].ljust(9, "é") for _ in range(200)] + ["ქართულიaaa"[:9], "漢字仮名漢字仮名漢", "𐐨" * 9]
+    walked, step = [], trie.step
+    trie.step = lambda nodes, letters: walked.append(len(letters)) or step(nodes, letters)
+    got = {(begin, to, i, piece) for begin, to, rows, ids in language_id.arcs(words, 9, trie) for i, piece in zip(rows.tolist(), ids.tolist(), strict=True)}
+    parts = [(b, e, i, w[b:e]) for i, w in enumerate(words) for b in range(9) for e in range(b + 1, 10)]
+    assert got == {(b, e, i, pieces.number.get(part, 0)) for b, e, i, part in parts if part in pieces.number or e == b + 1}
+    assert sum(walked) < len(parts)
+
+
 def test_languages_are_told(session):
     docs = table(session, SMALL, "documents")
     got = language_id.languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
