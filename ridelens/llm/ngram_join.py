@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ridelens.llm.components import components
 from ridelens.llm.shared import stored, texts
-from ridelens.llm.words import Hasher, mix
+from ridelens.llm.words import fold, mix, shingles
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5  # a pair at the threshold shares no band once in eight million
@@ -33,15 +33,30 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
 _FACTORS = _factors(BANDS * ROWS)
 
 
-def minhash(shingles: np.ndarray, rows: int = 2048) -> np.ndarray:
-    """The least value of each hash function; long sets in blocks, so memory stays bounded."""
+_SCRATCH = np.empty((256, BANDS * ROWS), np.uint64)  # one for all texts, as large memory is given back when freed
+
+
+def minhash(rows: np.ndarray) -> np.ndarray:
+    """The least value of each hash function; long sets in blocks that stay in a processor's cache."""
     times, plus = _FACTORS
     least = np.full(len(times), np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), rows):
-        least = np.minimum(least, (shingles[i : i + rows, None] * times + plus).min(axis=0))
+    for i in range(0, len(rows), len(_SCRATCH)):
+        block = rows[i : i + len(_SCRATCH), None]
+        values = np.multiply(block, times, out=_SCRATCH[: len(block)])
+        values += plus
+        np.minimum(least, values.min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A key for each band of each row of MinHash values; equal values of different bands have different keys."""
+    bands = values.reshape(-1, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
+    for i in range(ROWS):
+        keys = fold(keys, bands[:, :, i])
+    return keys.view(np.int64)
+
+
 def least_agreeing(compared: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """The fewest agreeing values of so many with which a pair may still reach the threshold.
 
@@ -58,22 +73,20 @@ def least_agreeing(compared: int, threshold: float = THRESHOLD, tolerance: float
 
 # --- candidates -----------------------------------------------------------------------
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
     for batch in batches:
-        keys, bands = [], []
+        sets, values = [], []
         for text in batch.column("text").to_pylist():
-            shingles = hasher.shingles(text, SIZE)
-            if not len(shingles):
-                keys.append(None)
-                bands.append(None)
-                continue
-            keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            values = minhash(shingles).reshape(BANDS, ROWS)
-            bands.append([xxhash.xxh3_64_intdigest(b"%d " % i + v.tobytes()) - 2**63 for i, v in enumerate(values)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "own_set", "bands"],
-        )
+            own = shingles(text, SIZE)
+            sets.append(xxhash.xxh3_128_digest(own) if len(own) else None)
+            if len(own):
+                values.append(minhash(own))
+        sets = pa.array(sets, pa.binary())
+        keys = band_keys(np.array(values, np.uint32).reshape(-1, BANDS * ROWS))
+        none = sets.is_null()
+        ends = np.cumsum(~none.to_numpy(zero_copy_only=False)) * BANDS
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=none)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets, bands], ["doc_id", "own_set", "bands"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -192,9 +205,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text replaced by its shingles; other columns stay."""
-    hasher = Hasher()
     for batch in batches:
-        data = [hasher.shingles(text, SIZE).tobytes() for text in batch.column("text").to_pylist()]
+        data = [shingles(text, SIZE).tobytes() for text in batch.column("text").to_pylist()]
         at = batch.schema.get_field_index("text")
         yield batch.set_column(at, "data", pa.array(data, pa.binary()))
 

@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ridelens.llm import byte_bpe, exact_dedup, imatch, language_id, licenses, mixing, ngram_join, token_counts, token_files, toxicity
+from ridelens.llm import byte_bpe, exact_dedup, imatch, language_id, licenses, mixing, ngram_join, token_counts, token_files, toxicity, words
 from ridelens.llm.bpe import Ranks, read_ranks
 from ridelens.llm.components import components
 from ridelens.llm.shared import prepare, table, units
@@ -372,6 +372,39 @@ def _shingles(text):
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
 
 
+def test_minhash_takes_no_large_memory():
+    """Values of long sets are made in one small piece of memory, and are the least of each function."""
+    import tracemalloc
+
+    rows = np.random.default_rng(7).integers(0, 2**64, 5000, np.uint64)
+    times, plus = ngram_join._FACTORS
+    least = [int((rows * t + p).min()) >> 32 for t, p in zip(times, plus, strict=True)]
+    tracemalloc.start()
+    got = ngram_join.minhash(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == least and peak < 500_000
+
+
+def test_sketches_by_hand():
+    """Rows of five words are told apart, words that cannot be encoded count too, and only equal bands have equal keys."""
+    assert len(words.shingles("a b c d e f a b c d e")) == 6 and len(words.shingles("A  b\x1cc")) == 1 and not len(words.shingles(" \t"))
+    assert words.shingles("A b C").tolist() == words.shingles("a\nB c").tolist() != words.shingles("a c b").tolist()
+    assert len(set(words.words("x \ud800 y \ud801 x").tolist())) == 4
+    values = np.random.default_rng(8).integers(0, 2**32, (50, 200), np.uint32)
+    values[1, 5:] = values[0, 5:]
+    values[2] = np.tile(values[0, :5], 40)
+    keys = ngram_join.band_keys(values)
+    assert keys[0, 0] == keys[2, 0] and (keys[0, 1:] == keys[1, 1:]).all() and len(set(keys.ravel().tolist())) == 50 * 40 - 39 - 1
+    texts = ["one two three four five six", None, " ", "ONE two three four five six", "", "seven"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([t or "" for t in texts])], ["doc_id", "text"])
+    (made,) = ngram_join._sketch([batch])
+    sets, bands = made.column(1).to_pylist(), made.column(2).to_pylist()
+    assert sets[0] == sets[3] != sets[5] and bands[0] == bands[3] != bands[5]
+    assert [s is None for s in sets] == [b is None for b in bands] == [False, True, True, False, True, False]
+    assert [len(b) for b in bands if b] == [ngram_join.BANDS] * 3 and ngram_join._sketch([batch.slice(0, 0)]).__next__().num_rows == 0
+
+
 def test_large_groups_are_compared_in_blocks(session, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     base = [f"w{i}" for i in range(300)]
