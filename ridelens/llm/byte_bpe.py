@@ -143,11 +143,11 @@ def encode(docs: DataFrame, name: str = "ids", text: str = "text", tokenizer: st
     """
     path = tokenizer_path(tokenizer)
 
-    @F.arrow_udf("binary")
-    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = ColumnEncoder(path)
+    @F.pandas_udf("binary")
+    def ids(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Encoder(path)
         for column in columns:
-            yield pa.array(of_each(*own.column(column)), pa.binary())
+            yield column.map(lambda t: own.encode(t).tobytes())
 
     return docs.withColumn(name, ids(F.coalesce(F.col(text), F.lit(""))))
 
@@ -169,13 +169,13 @@ def coded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """The columns of docs with ids and decoded, as from encode and decode, by one Python worker a task."""
     path = tokenizer_path(tokenizer)
 
-    @F.arrow_udf("ids binary, decoded binary")
-    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = ColumnEncoder(path)
+    # By single texts: beside other columns and stages, an encoder of columns takes too much memory.
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Encoder(path)
         for column in columns:
-            ids, ends = own.column(column)
-            made = of_each(ids, ends), own.decode(ids, ends)
-            yield pa.StructArray.from_arrays([pa.array(m, pa.binary()) for m in made], ["ids", "decoded"])
+            ids = [own.encode(t) for t in column]
+            yield pd.DataFrame({"ids": [i.tobytes() for i in ids], "decoded": [own.decode(i) for i in ids]})
 
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
     name = unused("coded", docs)
